@@ -25,6 +25,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _pattern())
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), 2, 80)
+
+
 def op7_bpe_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_pieces import round_trip
 
@@ -38,8 +44,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_packing, op7_bpe_pieces, op8_token_counts)}
+    return {f.__name__: f for f in (op3_packing, op4_near_duplicates, op7_bpe_pieces, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import minhash
+
+    return {"op4_near_duplicates": minhash.oracle(2, 80)}
