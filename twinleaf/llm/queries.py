@@ -19,6 +19,12 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents"), 200)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -44,7 +50,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_packing, op4_near_duplicates, op7_bpe_pieces, op8_token_counts)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_packing, op4_near_duplicates, op7_bpe_pieces, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
