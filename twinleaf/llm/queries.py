@@ -37,6 +37,12 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 2, 80)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_pieces import round_trip
 
@@ -49,8 +55,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_packing, op4_near_duplicates, op7_bpe_pieces, op8_token_counts)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_packing, op4_near_duplicates, op5_quality, op7_bpe_pieces, op8_token_counts, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
