@@ -6,8 +6,9 @@ continuation counts, discounts, back-off weights) follows from that table. Its s
 stock of ORDER-character strings; above MODEL_ENTRIES the rarest strings are cut off by a higher
 least count. The model is kept in sorted hash arrays, each with a slot index for the common case.
 
-Each language's documents give a median and a spread of log-perplexity, and documents outside
-the band around it are rejected: below it repetitive or templated text, above it noise.
+Each language's documents give a median and a spread of log-perplexity for each octave of text lengths (means
+over long texts scatter less), and documents outside the band around it are rejected: below it
+repetitive or templated text, above it noise.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ MODEL_ENTRIES = 4_000_000
 #: Languages with a model of their own, by documents; all others share one.
 LANGUAGES = 64
 #: The band, in spreads (a normal distribution's deviation by its quartiles) below and above the median, and the least spread.
-BELOW, ABOVE, LEAST_SPREAD = 9.0, 9.0, 0.03
+BELOW, ABOVE, LEAST_SPREAD = 4.0, 6.0, 0.002
+#: An octave with fewer documents takes the next shorter one's band, or that of the whole language.
+LEAST_DOCUMENTS = 100
 MIN_WORDS, MAX_REPEAT = 20, 30
 WINDOW = 8
 _PAD = 2
 _OTHER = "\0other"
-_STEP = 100  # bins per unit of log-perplexity
+_STEP = 500  # bins per unit of log-perplexity
 
 # --- the model ---------------------------------------------------------------------------
 
@@ -202,17 +205,23 @@ def base(column: pa.Array) -> dict[str, np.ndarray]:
 # --- verdicts ----------------------------------------------------------------------------
 
 
-def bands(scored: DataFrame) -> dict[str, tuple[float, float]]:
-    """(lowest, highest) log-perplexity by language, from a histogram of all documents that the base rules pass."""
-    rows = scored.where("NOT base_failed").groupBy("_lang", F.round(F.col("log_perplexity") * _STEP).cast("int").alias("bin")).count().collect()
-    found = {}
-    for name in {r[0] for r in rows}:
-        own = sorted((r["bin"], r["count"]) for r in rows if r[0] == name)
-        upto = np.cumsum([c for _, c in own])
-        q1, mid, q3 = (own[int(np.searchsorted(upto, q * upto[-1]))][0] / _STEP for q in (0.25, 0.5, 0.75))
+def bands(scored: DataFrame) -> dict[str, list[tuple[int, float, float]]]:
+    """(octave from which on, lowest, highest log-perplexity) by language, from a histogram of all documents that the base rules pass."""
+    rows = scored.where("NOT base_failed").groupBy("_lang", "_octave", F.round(F.col("log_perplexity") * _STEP).cast("int").alias("bin")).count().collect()
+
+    def band(counts: dict[int, int]) -> tuple[float, float]:
+        bins = sorted(counts)
+        upto = np.cumsum([counts[x] for x in bins])
+        q1, mid, q3 = (bins[int(np.searchsorted(upto, q * upto[-1]))] / _STEP for q in (0.25, 0.5, 0.75))
         spread = max((q3 - q1) / 1.349, LEAST_SPREAD)
-        found[name] = mid - BELOW * spread, mid + ABOVE * spread
-    return found
+        return mid - BELOW * spread, mid + ABOVE * spread
+
+    cells: dict[str, dict[int, dict[int, int]]] = {}
+    for name, octave, x, n in rows:
+        for o in (-1, octave):
+            own = cells.setdefault(name, {}).setdefault(o, {})
+            own[x] = own.get(x, 0) + n
+    return {name: [(o, *band(counts)) for o, counts in sorted(own.items()) if o < 0 or sum(counts.values()) >= LEAST_DOCUMENTS] for name, own in cells.items()}
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -241,13 +250,18 @@ def quality(docs: DataFrame) -> DataFrame:
                 own = which[row] == k
                 if name in models and own.any():
                     total += np.bincount(row[own], models[name].log_probability(code[own]), n)
-            perplexity = -total / np.maximum(np.bincount(row, minlength=n), 1)
+            length = np.maximum(np.bincount(row, minlength=n), 1)
+            perplexity = -total / length
+            octave = np.log2(length).astype(np.int32)
             failed = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT * out["n_words"])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_lang"), *(pa.array(out[c].astype(np.int64)) for c in counts), pa.array(failed), pa.array(perplexity)], ["doc_id", "_lang", *counts, "base_failed", "log_perplexity"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_lang"), *(pa.array(out[c].astype(np.int64)) for c in counts), pa.array(failed), pa.array(perplexity), pa.array(octave)], ["doc_id", "_lang", *counts, "base_failed", "log_perplexity", "_octave"])
 
-    schema = "doc_id long, _lang string, " + ", ".join(f"{c} long" for c in counts) + ", base_failed boolean, log_perplexity double"
+    schema = "doc_id long, _lang string, " + ", ".join(f"{c} long" for c in counts) + ", base_failed boolean, log_perplexity double, _octave int"
     scored = common.cut(docs.mapInArrow(run, schema))
     inside = F.lit(True)
-    for name, (low, high) in sorted(bands(scored).items()):
-        inside = F.when(F.col("_lang") == name, F.col("log_perplexity").between(low, high)).otherwise(inside)
+    for name, own in sorted(bands(scored).items()):
+        verdict = F.lit(True)
+        for octave, low, high in own:
+            verdict = F.when(F.col("_octave") >= octave, F.col("log_perplexity").between(low, high)).otherwise(verdict)
+        inside = F.when(F.col("_lang") == name, verdict).otherwise(inside)
     return scored.select("doc_id", *counts, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_perplexity")
