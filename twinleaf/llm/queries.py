@@ -43,6 +43,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train_forest(secrets.sample_findings(spark)))
+
+
 def op7_bpe_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_pieces import round_trip
 
@@ -62,11 +68,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_packing, op4_near_duplicates, op5_quality, op7_bpe_pieces, op8_token_counts, op9_toxicity)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_packing, op4_near_duplicates, op5_quality, op6_secrets, op7_bpe_pieces, op8_token_counts, op9_toxicity, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import minhash
+    from . import line_dedup, minhash
 
-    return {"op4_near_duplicates": minhash.oracle(2, 80)}
+    return {"op4_near_duplicates": minhash.oracle(2, 80), "op10_line_dedup": line_dedup.oracle()}
