@@ -25,6 +25,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), 200)
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), 50, 5)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -75,7 +81,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_packing, op4_near_duplicates, op5_quality, op6_secrets, op7_bpe_pieces, op8_token_counts, op9_toxicity, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_neighbours, op3_packing, op4_near_duplicates, op5_quality, op6_secrets, op7_bpe_pieces, op8_token_counts, op9_toxicity, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
