@@ -15,6 +15,7 @@ from ..operators import cache, detect, diff, report
 from ..sources import html, text
 
 THRESHOLD = 10
+CHAT_THRESHOLD = 4
 FLAGS = {
     "variables": AnonymizationSettings(True, False, False, False),
     "literals": AnonymizationSettings(False, True, False, False),
@@ -141,7 +142,7 @@ def flagship(spark, sf_dir):
     return clone_groups_ranked(spark, sf_dir)
 
 
-_EXCLUDED = ("https://site1.example.com", "https://site3.example.com/a")
+_EXCLUDED = ("https://spam-farm.example.org", "http://blog.ththan.example.net/en", "https://ththin.example.com/en/671")
 
 
 def exclude_filter(spark, sf_dir):
@@ -183,7 +184,11 @@ def unified_rows(spark, sf_dir):
 
 
 def unified_fallback(spark, sf_dir):
-    rows = report.fallback_rows(report.content_numbered(_report_lines(spark, sf_dir)))
+    """Groups of unlike instances: whole documents that begin with the same line."""
+    files = _files(spark, sf_dir)
+    whole = files.where("text IS NOT NULL").withColumns({"hash": F.unhex(F.md5(F.split("text", "\n")[0].cast("binary"))), "post_ord": F.lit(1).cast("long"), "start_line": F.lit(1), "end_line": F.size(F.split("text", "\n", -1)), "node_count": F.lit(1)}).drop("text")
+    lines = report.dedented(report.instance_lines(detect.instances(whole), files), "hash", "inst")
+    rows = report.fallback_rows(report.content_numbered(lines))
     return _longs(_hex(rows), "inst", "line")
 
 
@@ -208,8 +213,8 @@ def cache_hit_miss(spark, sf_dir):
 
 
 def chat_clone_groups(spark, sf_dir):
-    nodes = text.subtrees(text.conversations(_table(spark, sf_dir, "conversations")), least=THRESHOLD)
-    return _groups(detect.detect(nodes, THRESHOLD))
+    nodes = text.subtrees(text.conversations(_table(spark, sf_dir, "conversations")), least=CHAT_THRESHOLD)
+    return _groups(detect.detect(nodes, CHAT_THRESHOLD))
 
 
 def html_subtrees(spark, sf_dir):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import PASSES
-from .catalogue import _EXCLUDED, FLAGS, THRESHOLD
+from .catalogue import _EXCLUDED, CHAT_THRESHOLD, FLAGS, THRESHOLD
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(13) || chr(11)"
 _DIGITS = next(p for p in PASSES if p[0] == "literals")
@@ -71,12 +71,20 @@ _REPORT = [
     "raw AS (SELECT n.hash, n.inst, n.file, l.ln AS line, replace(l.t, chr(9), '    ') AS t FROM numbered n JOIN nodes_l l USING (file))",
     _dedent("raw", "hash, inst"),
 ]
-_CONTENT = [
-    *_REPORT,
+_COUNTED = [
     f"counted AS (SELECT *, CASE WHEN trim(t, {_WHITE}) <> '' THEN sum(CASE WHEN trim(t, {_WHITE}) <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY hash, inst ORDER BY line) END AS idx FROM dedented)",
     "sizes AS (SELECT hash, inst, count(idx) AS n FROM counted GROUP BY 1, 2)",
     "unifiable AS (SELECT hash FROM sizes GROUP BY hash HAVING min(n) = max(n))",
 ]
+_CONTENT = [*_REPORT, *_COUNTED]
+_SAME_START = [
+    "docs AS (SELECT doc_id, text, md5(split_part(text, chr(10), 1)) AS hash FROM documents WHERE text IS NOT NULL)",
+    "numbered AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY doc_id) - 1 AS inst FROM docs WHERE hash IN (SELECT hash FROM docs GROUP BY hash HAVING count(*) >= 2))",
+    "raw AS (SELECT hash, inst, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM numbered)",
+    "tabless AS (SELECT hash, inst, line, replace(x, chr(9), '    ') AS t FROM raw)",
+    _dedent("tabless", "hash, inst"),
+    *_COUNTED,
+]
 
 
 def statements() -> dict[str, str]:
@@ -113,10 +121,10 @@ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscrip
 FROM texts JOIN places USING (hash, idx)
 UNION ALL SELECT hash, CAST(line AS BIGINT), 0, CAST(line AS VARCHAR), '', false FROM counted WHERE inst = 0 AND idx IS NULL AND hash IN (FROM unifiable)""",
         ),
-        "unified_fallback": _with(*_CONTENT, "SELECT hash, CAST(inst AS BIGINT) AS inst, CAST(line AS BIGINT) AS line, t AS text FROM counted WHERE hash NOT IN (FROM unifiable)"),
+        "unified_fallback": _with(*_SAME_START, "SELECT hash, CAST(inst AS BIGINT) AS inst, CAST(line AS BIGINT) AS line, t AS text FROM counted WHERE hash NOT IN (FROM unifiable)"),
         "line_label_width": _with(_nodes(), _INST, "SELECT hash, CAST(greatest(3, length(CAST(max(end_line) AS VARCHAR))) AS BIGINT) AS width FROM inst GROUP BY hash"),
         "cache_hit_miss": _with(_nodes(), "hits AS (SELECT DISTINCT md5(text) AS m FROM documents WHERE doc_id % 3 = 0)", "SELECT n.file, md5(f.text) IN (FROM hits) AS hit, count(*) AS subtrees FROM nodes n JOIN nodes_f f USING (file) GROUP BY 1, 2"),
-        "chat_clone_groups": _with(_nodes(_CHATS), _INST, _COVERED.format(inst="inst"), _KEPT.format(inst="inst"), _summary("kept")),
+        "chat_clone_groups": _with(_nodes(_CHATS, least=CHAT_THRESHOLD), _INST, _COVERED.format(inst="inst"), _KEPT.format(inst="inst"), _summary("kept")),
         "benchmark_overlap": _with(
             _nodes("SELECT CAST(item_id AS VARCHAR) AS file, CAST(item_id AS BIGINT) AS file_ord, text FROM benchmark", least=1, name="bench"),
             _nodes(least=1),
