@@ -86,3 +86,44 @@ def test_empty_table_repeated_rows_and_null_ids(spark):
     got = sorted(map(tuple, minhash.near_duplicates(df, 2).collect()), key=str)
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, None, False), (2, 2, 1, False)], key=str)
     assert sorted(r.doc_id or 0 for r in minhash.drop_near_duplicates(df, 2).collect()) == [0, 1, 1]
+
+
+def test_blocks_and_families_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 100)
+    monkeypatch.setattr(minhash, "TEXTS", 16)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for k in rng.sample(range(300), 27 if i % 50 else 0):
+            w[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sketch = minhash.sketches(df, 2).selectExpr("explode(bands) as key", "doc_id as rep", "doc_id as tree", "n_shingles as n", "bits")
+    links = minhash.components(minhash.close_groups(sketch, 80))
+    family = dict(map(tuple, links.collect()))
+    sets = [{(a, b) for a, b in zip(t.split(), t.split()[1:])} for _, t in rows]
+    want = {(x, y) for y in range(len(rows)) for x in range(y) if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])}
+    assert want and all(family[x] == family[y] for x, y in want)
+    members = sketch.select("rep", "tree", "n", "bits").distinct().join(links.toDF("rep", "family"), "rep").join(df.toDF("rep", "text"), "rep")
+    found = minhash.family_links(members, 2, 80).collect()
+    assert len(found) < 60 * len(rows)
+    assert sorted(map(tuple, minhash.near_duplicates(df, 2).collect())) == brute(rows, 2, 80)
+
+
+def test_agreement_varies_as_published():
+    """At the threshold the number of equal bits has the expected mean and no more than the expected spread."""
+    rng = np.random.default_rng(7)
+    for n in (90, 450, 3000):
+        m, runs = minhash.REGISTERS, 60
+        union = rng.integers(0, 1 << 63, (runs, n), dtype=np.uint64)
+        cut = n // 10  # 10 % of either set is its own
+        sets = [np.delete(u, np.s_[:cut]) for u in union] + [np.delete(u, np.s_[cut : 2 * cut]) for u in union]
+        bits = minhash.nibbles(minhash.super_minhash(np.repeat(np.arange(2 * runs), n - cut), np.concatenate(sets), 2 * runs, m))
+        equal = minhash._EQUAL[bits[:runs] ^ bits[runs:]].sum(axis=1, dtype=np.int64)
+        spread = (m * 0.16 * minhash.variance_factor(np.array([n]), m)[0] * (15 / 16) ** 2 + m * 0.2 * 15 / 256) ** 0.5
+        assert abs(equal.mean() - m * (0.8 + 0.2 / 16)) < 4 * spread / runs**0.5
+        assert 0.7 * spread < equal.std() < 1.35 * spread
+        size = np.array([n - cut])
+        assert (equal >= minhash.Agreement(80)(size, size)).all()

@@ -6,8 +6,11 @@ of a batch take step j together, and a document stops as soon as its largest reg
 below the next step. Places and values come from one permutation, hence the lower variance.
 
 Links are found in two passes. First every document is compared with one leader, the document
-of least id that it shares most bands with, which gives a forest. Then only pairs of documents
-that share bands but lie in different trees are compared. Each comparison is on full sets.
+of least id that it shares most bands with, which gives a forest. Then documents that share a band but lie in different
+trees are compared within blocks of a bounded number of documents, first by all their registers (four bits of each):
+pairs whose registers agree as often as a similarity at the threshold may make them, but for more than four standard deviations of
+chance, make up families. Each family's texts then meet in blocks, where such pairs are compared on full sets.
+Tasks hand on spanning links of what they found, not all pairs, so no table grows with the square of a group.
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ from . import common
 
 #: 40 bands of 4 registers: a pair at a similarity of 0.8 shares fewer than two bands about twice in 10^8.
 BANDS, ROWS = 40, 4
+REGISTERS = 512
+#: Documents of one band key in a block, texts of one family in a block, and standard deviations that chance may take from a pair's agreement.
+BLOCK, TEXTS, DEVIATIONS = 1024, 64, 4.5
 _GOLD = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
 
@@ -55,19 +61,43 @@ def shingles(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
     return r[new], h[new]
 
 
-def super_minhash(row: np.ndarray, element: np.ndarray, n: int, m: int) -> np.ndarray:
-    """n x m registers, each j * 2**32 + a random 32 bits; rows without elements keep the largest value."""
+def super_minhash(row: np.ndarray, element: np.ndarray, n: int, m: int, most: int = 16_000) -> np.ndarray:
+    """n x m registers, each j * 2**32 + a random 32 bits; rows without elements keep the largest value.
+
+    Rows are taken up by size, about most elements at a time, since small sets take more steps.
+    """
+    registers = np.full((n, m), _M64, dtype=np.uint64)
+    count = np.bincount(row, minlength=n)
+    first = np.cumsum(count) - count
+    by_size = np.argsort(count, kind="stable")
+    by_size = by_size[count[by_size] > 0]
+    batch = (np.cumsum(count[by_size]) - 1) // most
+    for b in range(int(batch[-1]) + 1 if len(batch) else 0):
+        rows = by_size[batch == b]
+        if not len(rows):
+            continue
+        own = np.repeat(np.arange(len(rows)), count[rows])
+        at = np.arange(len(own)) - np.repeat(np.cumsum(count[rows]) - count[rows], count[rows]) + np.repeat(first[rows], count[rows])
+        registers[rows] = _super_minhash(own, element[at], len(rows), m)
+    return registers
+
+
+def _super_minhash(row: np.ndarray, element: np.ndarray, n: int, m: int) -> np.ndarray:
     registers = np.full((n, m), _M64, dtype=np.uint64)
     flat = registers.reshape(-1)
     base = row * m
-    places = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(row), 1))
+    places = np.tile(np.arange(m, dtype=np.uint16), (len(row), 1))
     idx = np.arange(len(row))
+    look = 0
     for j in range(m):
         x = common.mix(element + np.uint64((j + 1) * _GOLD & _M64))
         k = (((x & np.uint64(0xFFFFFFFF)) * np.uint64(m - j)) >> np.uint64(32)).astype(np.int64) + j
         place = places[idx, k]
         places[idx, k] = places[idx, j]
         np.minimum.at(flat, base + place, (x >> np.uint64(32)) + np.uint64(j << 32))
+        if j < look:  # a row may take a few steps that change nothing
+            continue
+        look = j + 1 + j // 8
         going = registers.max(axis=1)[row] >= np.uint64((j + 1) << 32)
         if not going.all():
             row, element, base, places = row[going], element[going], base[going], places[going]
@@ -77,6 +107,41 @@ def super_minhash(row: np.ndarray, element: np.ndarray, n: int, m: int) -> np.nd
     return registers
 
 
+def nibbles(registers: np.ndarray) -> np.ndarray:
+    """Four bits of each register, two to a byte."""
+    bits = (common.mix(registers) & np.uint64(15)).astype(np.uint8)
+    return bits[:, ::2] << 4 | bits[:, 1::2]
+
+
+_EQUAL = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], dtype=np.uint8)
+
+
+_BAND_BYTES = 4 * BANDS
+
+
+def variance_factor(union: np.ndarray, m: int) -> np.ndarray:
+    """What the variance of the share of equal registers is to plain MinHash's, by the size of two sets' union (published for SuperMinHash)."""
+    u = np.maximum(union, 2).astype(float)[:, None]
+    k = np.arange(1, m)
+    terms = (k / (m - 1)) ** u * (((k + 1) / m) ** u + ((k - 1) / m) ** u - 2 * (k / m) ** u)
+    return np.clip(1 - terms.sum(axis=1) * (m - 1) / (u[:, 0] - 1), 0.0, 1.0)
+
+
+class Agreement:
+    """The least number of equal register bits that a pair at the threshold has, but for so many deviations of chance."""
+
+    def __init__(self, percent: int, deviations: float = DEVIATIONS, m: int = REGISTERS):
+        j = percent / 100
+        self.steps = np.unique(np.round(np.geomspace(2, 1 << 17, 120)).astype(np.int64))
+        spread = m * j * (1 - j) * variance_factor(self.steps, m) * (15 / 16) ** 2 + m * (1 - j) * 15 / 256
+        self.least = np.floor(m * (j + (1 - j) / 16) - deviations * np.sqrt(spread))
+        self.share = 1 + j
+
+    def __call__(self, n: np.ndarray, other: np.ndarray) -> np.ndarray:
+        union = (n + other) / self.share  # at the threshold
+        return self.least[np.minimum(np.searchsorted(self.steps, union), len(self.steps) - 1)]
+
+
 def band_keys(registers: np.ndarray, rows: int) -> np.ndarray:
     """One key per band of that many registers; a key tells its band too."""
     n, m = registers.shape
@@ -88,7 +153,7 @@ def band_keys(registers: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, two sums that identify the set, and the band keys."""
+    """doc_id, n_shingles, two sums that identify the set, the band keys and the registers' bits with the low halves of the band keys."""
     common.ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,11 +166,15 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
             if len(some):
                 at = common.per_row(row, n)[some]
                 sums[0, some], sums[1, some] = np.add.reduceat(common.mix(h), at), np.add.reduceat(common.mix(h ^ np.uint64(_GOLD)), at)
-            keys = common.signed(np.ascontiguousarray(band_keys(super_minhash(row, h, n, BANDS * ROWS), ROWS)))
+            registers = super_minhash(row, h, n, REGISTERS)
+            bits = nibbles(registers)
+            keys = np.ascontiguousarray(band_keys(registers[:, : BANDS * ROWS], ROWS))
+            bits = np.concatenate([(keys & np.uint64(0xFFFFFFFF)).astype("<u4").view(np.uint8), bits], axis=1)
+            keys = common.signed(keys)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(common.signed(sums[0])), pa.array(common.signed(sums[1])), lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(common.signed(sums[0])), pa.array(common.signed(sums[1])), lists, pa.array([x.tobytes() for x in bits], pa.binary())], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -128,6 +197,142 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return both.mapInArrow(run, "a long, b long")
 
 
+def _blocks(members: DataFrame, group: str, size: int, keep: list[str]) -> DataFrame:
+    """members in blocks: a row for each pair of blocks of its group that it is part of, sorted by group, lo, hi.
+
+    A group's members are dealt into blocks, and each two blocks meet in one place, so no task holds more than two
+    blocks of a group however many members it has.
+    """
+    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    dealt = members.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.col(group).alias("key"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", *keep)
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int, nbytes: int) -> Iterator[pa.Table]:
+    """The batches put together so that no (key, lo, hi) is cut, at about so many rows or bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            held.append(batch.slice(at, 256))
+            if sum(b.num_rows for b in held) < rows and sum(b.nbytes for b in held) < nbytes:
+                continue
+            part = pa.Table.from_batches(held)
+            group = np.stack([part.column(c).to_numpy() for c in ("key", "lo", "hi")])
+            same = (group == group[:, -1:]).all(axis=0)
+            whole = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))  # where the last group begins
+            if whole:
+                yield part.slice(0, whole)
+            held = part.slice(whole).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+    common.give_back()
+
+
+def _pairs(part: pa.Table, agreement: Agreement, percent: int, first_band: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of the same group and different trees whose registers agree enough; first_band: only in the first band that they share."""
+    key, lo, hi, own, tree, n = (part.column(c).to_numpy() for c in ("key", "lo", "hi", "own", "tree", "n"))
+    bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), dtype=np.uint8).reshape(len(key), -1)
+    bands, bits = np.ascontiguousarray(bits[:, :_BAND_BYTES]).view("<u4"), np.ascontiguousarray(bits[:, _BAND_BYTES:])
+    band = (bands == (key & 0xFFFFFFFF).astype(np.uint32)[:, None]).argmax(axis=1)
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    group = np.cumsum(new) - 1
+    i = np.arange(len(key))
+    for d in range(1, len(key)):
+        i = i[i + d < len(key)]
+        i = i[group[i] == group[i + d]]
+        if not len(i):
+            break
+        j = i + d
+        ok = (tree[i] != tree[j]) & ((own[i] != own[j]) | (lo[i] == hi[i])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        x, y = i[ok], j[ok]
+        for at in range(0, len(x), 1 << 14):
+            p, q = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
+            if first_band:
+                first = (bands[p] == bands[q]).argmax(axis=1) == band[p]
+                p, q = p[first], q[first]
+            near = _EQUAL[bits[p] ^ bits[q]].sum(axis=1, dtype=np.int64) >= agreement(n[p], n[q])
+            if near.any():
+                yield p[near], q[near]
+
+
+class _Spanning:
+    """Union-find of what one task links; hands on a link for each member but its tree's least."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (above := self.up.setdefault(x, x)) != x:
+            self.up[x] = x = self.up[above]
+        return x
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = self.root(x), self.root(y)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+
+    def batch(self) -> pa.RecordBatch:
+        links = [(x, r) for x in sorted(self.up) if (r := self.root(x)) != x]
+        a, b = [x for x, _ in links], [r for _, r in links]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def close_groups(members: DataFrame, percent: int, deviations: float = DEVIATIONS) -> DataFrame:
+    """Links (a, b) that span the members (key, rep, tree, n, bits) that share a band key, lie in different trees and may be similar."""
+    agreement = Agreement(percent, deviations)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole_groups(batches, 10_000, 8 << 20):
+            rep, links = part.column("rep").to_numpy(), _Spanning()
+            for p, q in _pairs(part, agreement, percent, True):
+                links.add(rep[p], rep[q])
+            yield links.batch()
+
+    return _blocks(members, "key", BLOCK, ["rep", "tree", "n", "bits"]).mapInArrow(run, "a long, b long")
+
+
+def family_links(members: DataFrame, k: int, percent: int, deviations: float = DEVIATIONS) -> DataFrame:
+    """Links (a, b) that span what is linked among members (family, rep, tree, n, bits, text) of the same family and different trees, by full sets."""
+    agreement = Agreement(percent, deviations)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole_groups(batches, 4096, 1 << 20):
+            rep, links = part.column("rep").to_numpy(), _Spanning()
+            row, h = shingles(*common.buffers(part.column("text").combine_chunks()), k)
+            kinds, which = np.unique(h, return_inverse=True)
+            place = row * max(len(kinds), 1) + which  # rising
+            at = common.per_row(row, part.num_rows)
+            size = np.diff(at)
+            for p, q in _pairs(part, agreement, percent, False):
+                steps = np.cumsum(size[p])
+                for lo, hi in _chunks(steps, 1 << 18):
+                    a, b = p[lo:hi], q[lo:hi]
+                    pair = np.repeat(np.arange(len(a)), size[a])
+                    own = np.arange(len(pair)) - np.repeat(np.cumsum(size[a]) - size[a], size[a]) + np.repeat(at[a], size[a])
+                    wanted = b[pair] * max(len(kinds), 1) + which[own]
+                    there = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
+                    shared = np.bincount(pair[place[there] == wanted], minlength=len(a))
+                    linked = 100 * shared >= percent * (size[a] + size[b] - shared)
+                    links.add(rep[a[linked]], rep[b[linked]])
+            yield links.batch()
+
+    return _blocks(members, "family", TEXTS, ["rep", "tree", "n", "bits", "text"]).mapInArrow(run, "a long, b long")
+
+
+def _chunks(steps: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of a rising sum's places that come to most, or to one place."""
+    lo = 0
+    while lo < len(steps):
+        done = steps[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(steps, done + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def roots(parents: DataFrame) -> DataFrame:
     """(id, root) of a forest (id, parent), parent < id, by pointer jumping."""
     now = common.cut(parents.select("id", F.col("parent").alias("root")))
@@ -178,7 +383,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows = common.cut(sketches(docs, k))
     key = ["set_a", "set_b", "n_shingles"]
     classes = rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL")
-    banded = rows.join(classes, [*(rows[c] == classes[c] for c in key), rows["doc_id"] == classes["rep"]]).select("rep", F.explode("bands").alias("key"))
+    banded = rows.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     leaders = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").select("key", "leader")
     shared = common.cut(banded.join(leaders, "key").select("key", "rep", "leader"))
     # the leader that most bands propose
@@ -186,19 +391,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     pairs = common.cut(votes.groupBy("rep").agg(F.max(F.struct("n", (-F.col("leader")).alias("to"))).alias("x")).select(F.col("rep").alias("a"), (-F.col("x.to")).alias("b")))
     forest = roots(verified(pairs, docs, k, percent).select(F.col("a").alias("id"), F.col("b").alias("parent")).distinct())
     common.drop(pairs)
-    # pairs across trees
-    placed = shared.join(forest.toDF("rep", "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("tree"))
-    mixed = placed.groupBy("key").agg(F.min("tree").alias("x"), F.max("tree").alias("y")).where("x <> y").select("key")
-    open_ = common.cut(placed.join(mixed, "key", "left_semi"))
-    other = open_.toDF("key", "rep_b", "tree_b")
-    across = common.cut(open_.join(other, "key").where("rep < rep_b AND tree <> tree_b").groupBy(F.col("rep").alias("a"), F.col("rep_b").alias("b")).agg(F.count("*").alias("n")).where("n > 1").select("a", "b"))
-    common.drop(shared, open_)
-    found = verified(across, docs, k, percent)
-    up_a, up_b = forest.toDF("a", "root_a"), forest.toDF("b", "root_b")
-    joined = components(found.join(up_a, "a", "left").join(up_b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
-    common.drop(across)
-    trees = classes.join(forest.toDF("rep", "root"), "rep", "left").withColumn("tree", F.coalesce("root", "rep"))
-    final = trees.join(joined.toDF("tree", "least"), "tree", "left").select(*key, F.coalesce("least", "tree").alias("component"))
+    # across trees
+    traits = common.cut(rows.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bits"))
+    trees = common.cut(traits.select("rep").distinct().join(forest.toDF("rep", "root"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("tree")))
+    placed = shared.select("key", "rep").join(trees, "rep")
+    mixed = common.cut(placed.groupBy("key").agg(F.min("tree").alias("x"), F.max("tree").alias("y")).where("x <> y").select("key"))
+    close = common.cut(close_groups(placed.join(mixed, "key", "left_semi").join(traits, "rep"), percent))
+    families = components(close)
+    texts = common.may_hold(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), families.withColumnRenamed("id", "rep"), "rep").where("_hit").select("rep", "text")
+    members = families.toDF("rep", "family").join(traits, "rep").join(trees, "rep").join(texts, "rep")
+    found = common.cut(family_links(members, k, percent))
+    edges = found.join(trees.toDF("a", "tree_a"), "a").join(trees.toDF("b", "tree_b"), "b").select(F.col("tree_a").alias("a"), F.col("tree_b").alias("b"))
+    joined = components(edges)
+    merged = common.cut(trees.join(joined.toDF("tree", "least"), "tree", "left").select("rep", F.coalesce("least", "tree").alias("tree")))
+    common.drop(mixed, close, families, found, trees, joined)
+    trees = merged
+    common.drop(shared, traits)
+    # written first: a join of two shuffled sides, of which Spark can split a hot set's
+    final = common.cut(classes.join(trees, "rep").select(*key, F.col("tree").alias("component")))
     out = rows.select("doc_id", *key).join(final, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
