@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -15,15 +16,23 @@ from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Bytes of text that a worker takes up at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of an Arrow batch to or from a Python worker: batches of whole texts would else hold tens of MB several times over.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package by the driver's path where that exists; clusters install it."""
+    """Lets Python workers import this package by the driver's path where that exists (clusters install it), and keeps Arrow batches at most as large as BATCH."""
+    for name, most in BATCH.items():
+        now = int(spark.conf.get(name).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
@@ -139,8 +148,22 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds - bounds[0]
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system: Python workers outlive a task and would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that a column's texts come to most bytes, or to one row."""
+    yield from _slices(batches, column, most)
+    give_back()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         _, bounds = buffers(batch.column(batch.schema.get_field_index(column)))
         at = 0
