@@ -126,7 +126,7 @@ def pair_marginals(emission: np.ndarray, length: np.ndarray, transition: np.ndar
 def fit_field(idx: np.ndarray, label: np.ndarray, length: np.ndarray, n_features: int, steps: int = 120, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, float, float, np.ndarray]:
     """Weights, bias, start and transition scores of the field, by Adam on the chains' likelihood. idx: chains x CHAIN x KINDS."""
     inside = np.arange(CHAIN) < length[:, None]
-    used = np.where(idx < 0, n_features, idx)
+    used = np.where(idx < 0, np.int32(n_features), idx)
     theta = np.zeros(n_features + 7)  # weights, a slot for none, bias, start, transitions
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     label = np.where(inside, label, 0)
@@ -246,7 +246,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array(kind[use].astype(np.int32)), pa.array(common.signed(rank)[use]), pa.array(np.bincount(chain, minlength=len(of))[use].astype(np.int32)), pa.array([block[i].tobytes() for i in use], pa.binary()), pa.array([marks[i].tobytes() for i in use], pa.binary())], ["kind", "rank", "n", "idx", "marks"])
 
     chosen_chains = rows.mapInArrow(labelled, "kind int, rank long, n int, idx binary, marks binary")
-    got = [r for kind in (1, 0) for r in chosen_chains.where(f"kind = {kind}").orderBy("rank", "n").limit(TRAIN_CHAINS).collect()]
+    got = []
+    for kind in (1, 0):  # the chains of least rank: first the ranks, then what they have
+        own = chosen_chains.where(f"kind = {kind}")
+        last = own.select("rank").orderBy("rank").limit(TRAIN_CHAINS).agg(F.max("rank")).first()[0]
+        got += sorted(own.where(F.col("rank") <= last).collect(), key=lambda r: (r["rank"], r["n"], r["idx"]))[:TRAIN_CHAINS] if last is not None else []
     idx = np.stack([np.frombuffer(r.idx, dtype=np.int32).reshape(CHAIN, KINDS) for r in got]) if got else np.zeros((0, CHAIN, KINDS), dtype=np.int32)
     marks = np.stack([np.frombuffer(r.marks, dtype=np.int8) for r in got]) if got else np.zeros((0, CHAIN), dtype=np.int8)
     if len(got):
