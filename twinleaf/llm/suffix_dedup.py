@@ -146,21 +146,22 @@ def repeated_spans(docs: DataFrame, depth: int) -> DataFrame:
     """(doc, lo, hi): byte spans of each row of docs (_row, text) whose windows of depth bytes also start elsewhere. They may overlap."""
     found, runs = [], common.cut(first_runs(docs, depth))
     for width in (*WIDTHS, None):
-        shared = runs.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
+        # written first: a join of two shuffled sides, of which Spark can split a hot core's
+        shared = common.cut(runs.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"))
         live = common.cut(runs.join(shared, "core", "left_semi"))
-        common.drop(runs)
+        common.drop(runs, shared)
         kinds = common.cut(live.groupBy("core", "full").agg(F.count("*").alias("c"), F.min(F.struct("doc", "start", "n", "rel")).alias("first")))
         found.append(common.cut(live.join(kinds.where("c > 1").select("core", "full"), ["core", "full"], "left_semi").select("doc", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + depth).alias("hi"))))
         common.drop(live)
         if width is None:
             common.drop(kinds)
             break
-        several = kinds.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
+        several = common.cut(kinds.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core"))
         nxt = kinds.join(several, "core", "left_semi").select("core", "first.*")
         per_doc = common.cut(nxt.groupBy(F.col("doc").alias("_row")).agg(F.collect_list(F.struct("core", "start", "n", "rel")).alias("runs")))
         texts = common.may_hold(docs, per_doc, "_row").where("_hit").select("_row", "text")
         runs = common.cut(split_runs(texts.join(per_doc, "_row"), depth, width))
-        common.drop(kinds, per_doc)
+        common.drop(kinds, several, per_doc)
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)
