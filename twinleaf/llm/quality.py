@@ -62,9 +62,9 @@ class Table:
         h = common.mix(keys)
         order = np.argsort(h)
         self.hashes, self.values = h[order], values[order].astype(np.float64)
-        self.bits = max(4, min(21, int(2 * max(1, len(h))).bit_length()))
+        self.bits = max(4, min(20, int(2 * max(1, len(h))).bit_length()))
         common_last = np.argsort(np.zeros(len(h)) if weight is None else weight[order], kind="stable")
-        self.slot = np.zeros(1 << self.bits, dtype=np.int64)
+        self.slot = np.zeros(1 << self.bits, dtype=np.int32)
         self.slot[(self.hashes[common_last] >> np.uint64(64 - self.bits)).astype(np.int64)] = common_last
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +72,7 @@ class Table:
         if not len(self.hashes):
             return np.zeros(len(keys)), np.zeros(len(keys), dtype=bool)
         h = common.mix(keys)
-        at = self.slot[(h >> np.uint64(64 - self.bits)).astype(np.int64)]
+        at = self.slot[(h >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int64)
         there = self.hashes[at] == h
         other = np.flatnonzero(~there)
         if len(other):
@@ -147,9 +147,14 @@ def count_models(docs: DataFrame) -> dict[str, KneserNey]:
     least, per = 1, dict(counts.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect())
     while sum(v for k, v in per.items() if k >= least) > MODEL_ENTRIES and least < 1000:
         least += 1
-    table = counts.where(F.col("n") >= least).toPandas()
+    kept, models = counts.where(F.col("n") >= least), {}
+    for name in sorted(r[0] for r in kept.select("_lang").distinct().collect()):  # one language at a time: at most LANGUAGES + 1
+        own = kept.where(F.col("_lang") == name).select("code", "n").toPandas()
+        code = own["code"].to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(code)
+        models[name] = KneserNey(code[order], own["n"].to_numpy().astype(np.int64)[order])
     common.drop(counts)
-    return {name: KneserNey(np.sort(own["code"].to_numpy().astype(np.int64).view(np.uint64)), own["n"].to_numpy()[np.argsort(own["code"].to_numpy().astype(np.int64).view(np.uint64))].astype(np.int64)) for name, own in table.groupby("_lang")}
+    return models
 
 
 # --- the base rules ----------------------------------------------------------------------
