@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TREES, BITS, SHARE = 48, 16, 0.6
+TREES, BITS, SHARE = 48, 32, 0.6
 SHARD, BLOCK = 16_384, 4_096
 _SEED = 77
 
@@ -30,15 +30,15 @@ class Forest:
 
     def __init__(self, x: np.ndarray):
         self.mean = x.mean(axis=0)
-        self.planes = np.random.default_rng(_SEED + x.shape[1]).normal(size=(x.shape[1], TREES * BITS))
+        self.planes = np.random.default_rng(_SEED + x.shape[1]).normal(size=(TREES, x.shape[1], BITS))
         hashes = self.strings(x)
         self.order = np.argsort(hashes, axis=1, kind="stable")
         self.sorted = np.take_along_axis(hashes, self.order, axis=1)
 
     def strings(self, x: np.ndarray) -> np.ndarray:
         """TREES x rows."""
-        bits = ((x - self.mean) @ self.planes > 0).reshape(len(x), TREES, BITS)
-        return np.ascontiguousarray((bits @ (1 << np.arange(BITS - 1, -1, -1))).T)
+        weight = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+        return np.stack([((x - self.mean) @ planes > 0) @ weight for planes in self.planes])
 
     def candidates(self, x: np.ndarray, least: int) -> Iterator[np.ndarray]:
         """For each query row its candidates' rows, sorted."""
