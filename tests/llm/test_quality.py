@@ -98,3 +98,26 @@ def test_unseen_strings_and_large_tables():
 
 def test_empty_table(spark):
     assert quality.quality(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def many_strings(spark):
+    rng = random.Random(3)
+    rows = [(i % 70, " ".join("".join(chr(0x4E00 + rng.randrange(300)) for _ in range(4)) for _ in range(60)), rng.choice(["zh", "ja"])) for i in range(80)]
+    return rows, spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string").repartition(3)
+
+
+def test_more_strings_than_one_pass_holds_all_count(spark, monkeypatch):
+    rows, df = many_strings(spark)
+    order = ["doc_id", "n_words", "log_perplexity"]
+    once = quality.quality(df).orderBy(*order).collect()
+    # 80 texts have over 20,000 strings
+    monkeypatch.setattr(quality, "PASS_ENTRIES", 5000, raising=False)
+    monkeypatch.setattr(quality, "MODEL_ENTRIES", 5000, raising=False)
+    parts = quality.quality(df).orderBy(*order).collect()
+    assert len(once) == len(parts) == 83
+    assert all(abs(a.log_perplexity - b.log_perplexity) < 1e-9 and a.kept == b.kept for a, b in zip(once, parts, strict=True))
+    own = [t for _, t, x in rows + rows[:3] if x == "zh"]
+    p = model_by_hand(own, quality.ORDER)
+    s = "\2" * (quality.ORDER - 1) + own[0]
+    want = -sum(math.log(p(s[k : k + quality.ORDER])) for k in range(len(own[0]))) / len(own[0])
+    assert any(abs(r.log_perplexity - want) < 1e-9 for r in parts)

@@ -2,9 +2,10 @@
 
 A modified Kneser-Ney model over characters, one for each language, is counted by Spark from all
 documents: the n-grams of the highest order are counted, and everything else in the model (lower orders'
-continuation counts, discounts, back-off weights) follows from that table. Its size is that of a language's
-stock of ORDER-character strings; above MODEL_ENTRIES the rarest strings are cut off by a higher
-least count. The model is kept in sorted hash arrays, each with a slot index for the common case.
+continuation counts, discounts, back-off weights) follows from that table by joins. All counted strings stay, in
+tables dealt out by hash; a text is scored against at most PASS_ENTRIES of them at a time, in as many passes as
+the table needs. As every text is counted, none holds an unseen string. One pass's strings are kept in sorted hash
+arrays with a slot index for the common case.
 
 Each language's documents give a median and a spread of log-perplexity for each octave of text lengths (means
 over long texts scatter less), and documents outside the band around it are rejected: below it
@@ -14,6 +15,7 @@ repetitive or templated text, above it noise.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 
 ORDER = 4
-MODEL_ENTRIES = 4_000_000
+#: Strings that are sent to the workers at a time; more take more passes over the texts.
+PASS_ENTRIES = 4_000_000
 #: Languages with a model of their own, by documents; all others share one.
 LANGUAGES = 64
 #: The band, in spreads (a normal distribution's deviation by its quartiles) below and above the median, and the least spread.
@@ -82,79 +85,64 @@ class Table:
         return self.values[at], there
 
 
-class KneserNey:
-    """Interpolated modified Kneser-Ney probabilities from the counts of ORDER-grams."""
-
-    def __init__(self, code: np.ndarray, count: np.ndarray):
-        self.grams: list[Table] = []
-        self.backoff: list[Table] = []
-        levels = [(code, count)]  # counts by falling order: below the highest, kinds of left neighbours
-        for n in range(ORDER - 1, 0, -1):
-            levels.append(np.unique(levels[-1][0] & np.uint64((1 << 16 * n) - 1), return_counts=True))
-        below: tuple[np.ndarray, np.ndarray] | None = None
-        self.unseen = 1 / (len(levels[-1][0]) + 1)
-        for n, (key, c) in zip(range(1, ORDER + 1), reversed(levels), strict=True):
-            n1, n2, n3, n4 = (max(int((c == k).sum()), 1) for k in (1, 2, 3, 4))
-            y = n1 / (n1 + 2 * n2)
-            d = np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.05, [0.95, 1.9, 2.85])
-            cut = d[np.minimum(c, 3) - 1]
-            context, at = np.unique(key >> np.uint64(16), return_inverse=True)
-            total = np.bincount(at, c)
-            left = np.bincount(at, cut) / total
-            if below is None:
-                lower = self.unseen
-            else:
-                lower = below[1][np.searchsorted(below[0], key & np.uint64((1 << 16 * (n - 1)) - 1))]
-            p = (c - cut) / total[at] + left[at] * lower
-            self.grams.append(Table(key, p, c))
-            self.backoff.append(Table(context, left, total))
-            below = key, p
-
-    def log_probability(self, code: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(code))
-        todo = np.arange(len(code))
-        for n in range(ORDER, 0, -1):
-            key = code[todo] & np.uint64((1 << 16 * n) - 1 if n < 4 else (1 << 64) - 1)
-            p, there = self.grams[n - 1].get(key)
-            out[todo[there]] += np.log(p[there])
-            todo, key = todo[~there], key[~there]
-            if not len(todo):
-                return out
-            left, there = self.backoff[n - 1].get(key >> np.uint64(16))
-            out[todo[there]] += np.log(left[there])
-        out[todo] += np.log(self.unseen)
-        return out
-
-
 def language(column: str = "lang"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def count_models(docs: DataFrame) -> dict[str, KneserNey]:
-    """A model for each of the LANGUAGES commonest values of docs' _lang, and one for all others."""
+def count_grams(docs: DataFrame) -> DataFrame:
+    """_l, code and n of every string of ORDER characters in docs (_l, text); written and read again."""
     common.ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, "text"):
+            part = part.take(pa.array(np.argsort(part.column("_l").to_numpy(), kind="stable")))
             code, row = grams(part.column("text"))
-            names, which = np.unique(np.array(part.column("_lang").to_pylist(), dtype=object), return_inverse=True)
+            names, first = np.unique(part.column("_l").to_numpy(), return_index=True)
+            edges = np.searchsorted(row, np.r_[first, part.num_rows])
             for k, name in enumerate(names):
-                key, n = np.unique(code[which[row] == k], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(key), pa.string()), pa.array(common.signed(key)), pa.array(n)], ["_lang", "code", "n"])
-
-    counts = common.cut(docs.select("_lang", "text").mapInArrow(run, "_lang string, code long, n long").groupBy("_lang", "code").agg(F.sum("n").alias("n")))
-    # least count that leaves at most MODEL_ENTRIES
-    least, per = 1, dict(counts.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect())
-    while sum(v for k, v in per.items() if k >= least) > MODEL_ENTRIES and least < 1000:
-        least += 1
-    kept, models = counts.where(F.col("n") >= least), {}
-    for name in sorted(r[0] for r in kept.select("_lang").distinct().collect()):  # one language at a time: at most LANGUAGES + 1
-        own = kept.where(F.col("_lang") == name).select("code", "n").toPandas()
-        code = own["code"].to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(code)
-        models[name] = KneserNey(code[order], own["n"].to_numpy().astype(np.int64)[order])
-    common.drop(counts)
-    return models
+                key, n = np.unique(code[edges[k] : edges[k + 1]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), name)), pa.array(common.signed(key)), pa.array(n)], ["_l", "code", "n"])
+
+    return common.cut(docs.select("_l", "text").mapInArrow(run, "_l long, code long, n long").groupBy("_l", "code").agg(F.sum("n").alias("n")))
+
+
+def probabilities(counts: DataFrame) -> DataFrame:
+    """_l, code, n and p, the interpolated modified Kneser-Ney probability of a string's last character; written and read again."""
+    levels = [counts]  # by falling order; below the highest, n counts kinds of left neighbours
+    for n in range(ORDER - 1, 0, -1):
+        levels.append(common.cut(levels[-1].groupBy("_l", F.col("code").bitwiseAND((1 << 16 * n) - 1).alias("code")).agg(F.count("*").alias("n"))))
+    levels.reverse()
+    n1, n2, n3, n4 = (F.greatest(F.col(f"n{k}"), F.lit(1)) for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    d = [F.least(F.greatest(x, F.lit(0.05)), F.lit(most)).alias(f"d{k}") for k, x, most in ((1, 1 - 2 * y * n2 / n1, 0.95), (2, 2 - 3 * y * n3 / n2, 1.9), (3, 3 - 4 * y * n4 / n3, 2.85))]
+    kinds = reduce(DataFrame.unionByName, (x.groupBy("_l").agg(F.count("*").alias("all"), *(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4))).withColumn("order", F.lit(k)) for k, x in enumerate(levels, 1)))
+    discounts = common.cut(kinds.select("_l", "order", *d, (1 / (F.col("all") + 1)).alias("unseen")))
+    p: DataFrame | None = None
+    for n, level in enumerate(levels, 1):
+        own = level.withColumn("context", F.shiftrightunsigned("code", 16))
+        sums = own.groupBy("_l", "context").agg(F.sum("n").alias("total"), F.expr("count_if(n = 1) AS c1"), F.expr("count_if(n = 2) AS c2"), F.expr("count_if(n >= 3) AS c3"))
+        sums = sums.join(discounts.where(F.col("order") == n).drop("order"), "_l").withColumn("left", F.expr("(d1 * c1 + d2 * c2 + d3 * c3) / total")).drop("c1", "c2", "c3")
+        own = own.join(sums, ["_l", "context"])
+        if p is None:
+            own = own.withColumn("lower", F.col("unseen"))
+        else:
+            own = own.withColumn("suffix", F.col("code").bitwiseAND((1 << 16 * (n - 1)) - 1)).join(p.select("_l", F.col("code").alias("suffix"), F.col("p").alias("lower")), ["_l", "suffix"])
+        p = own.select("_l", "code", "n", F.expr("(n - CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END) / total + left * lower").alias("p"))
+    out = common.cut(p)
+    common.drop(discounts, *levels[:-1])
+    return out
+
+
+def keyed(code: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    """One key for a string and its language's hash."""
+    return common.mix(code) + lang.astype(np.int64).view(np.uint64)
+
+
+def log_table(rows: DataFrame) -> Table:
+    """The logarithms of p by keyed(), of one pass's rows."""
+    own = rows.select("_l", "code", "n", "p").toArrow()
+    code, lang, n, p = (own.column(c).to_numpy() for c in ("code", "_l", "n", "p"))
+    return Table(keyed(code.astype(np.int64).view(np.uint64), lang), np.log(p), n)
 
 
 # --- the base rules ----------------------------------------------------------------------
@@ -229,6 +217,45 @@ def bands(scored: DataFrame) -> dict[str, list[tuple[int, float, float]]]:
     return {name: [(o, *band(counts)) for o, counts in sorted(own.items()) if o < 0 or sum(counts.values()) >= LEAST_DOCUMENTS] for name, own in cells.items()}
 
 
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _totals(part: pa.RecordBatch, table: Table) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's sum of the logarithms in table, and its characters."""
+    code, row = grams(part.column("text"))
+    value, there = table.get(keyed(code, part.column("_l").to_numpy()[row]))
+    return np.bincount(row, np.where(there, value, 0.0), part.num_rows), np.bincount(row, minlength=part.num_rows)
+
+
+def first_pass(docs: DataFrame, sent) -> DataFrame:
+    """doc_id, _lang, _l, _text, COUNTS, base_failed, _octave, _length and total, the sum of the logarithms in the table sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for part in common.slices(batches, "text"):
+            out = base(part.column("text"))
+            total, length = _totals(part, table)
+            length = np.maximum(length, 1)
+            octave = np.log2(length).astype(np.int32)
+            failed = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT * out["n_words"])
+            same = ["doc_id", "_lang", "_l", "_text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in same), *(pa.array(out[c].astype(np.int64)) for c in COUNTS), pa.array(failed), pa.array(octave), pa.array(length.astype(np.int64)), pa.array(total)], [*same, *COUNTS, "base_failed", "_octave", "_length", "total"])
+
+    schema = "doc_id long, _lang string, _l long, _text long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, _octave int, _length long, total double"
+    return docs.mapInArrow(run, schema)
+
+
+def next_pass(docs: DataFrame, sent) -> DataFrame:
+    """_l, _text and total of every row for another part of the model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for part in common.slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column("_l"), part.column("_text"), pa.array(_totals(part, table)[0])], ["_l", "_text", "total"])
+
+    return docs.select("_l", "_text", "text").mapInArrow(run, "_l long, _text long, total double")
+
+
 def quality(docs: DataFrame) -> DataFrame:
     """The base counts, base_failed, log_perplexity and kept of every row of docs (doc_id, text, lang).
 
@@ -239,34 +266,30 @@ def quality(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", language().alias("_lang"))
     names = [r[0] for r in docs.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()]
     docs = docs.withColumn("_lang", F.when(F.col("_lang").isin(names), F.col("_lang")).otherwise(_OTHER))
-    sent = spark.sparkContext.broadcast(count_models(docs))
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = sent.value
-        for part in common.slices(batches, "text"):
-            n = part.num_rows
-            out = base(part.column("text"))
-            code, row = grams(part.column("text"))
-            lang = np.array(part.column("_lang").to_pylist(), dtype=object)
-            names, which = np.unique(lang, return_inverse=True)
-            total = np.zeros(n)
-            for k, name in enumerate(names):
-                own = which[row] == k
-                if name in models and own.any():
-                    total += np.bincount(row[own], models[name].log_probability(code[own]), n)
-            length = np.maximum(np.bincount(row, minlength=n), 1)
-            perplexity = -total / length
-            octave = np.log2(length).astype(np.int32)
-            failed = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT * out["n_words"])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_lang"), *(pa.array(out[c].astype(np.int64)) for c in counts), pa.array(failed), pa.array(perplexity), pa.array(octave)], ["doc_id", "_lang", *counts, "base_failed", "log_perplexity", "_octave"])
-
-    schema = "doc_id long, _lang string, " + ", ".join(f"{c} long" for c in counts) + ", base_failed boolean, log_perplexity double, _octave int"
-    scored = common.cut(docs.mapInArrow(run, schema))
+    docs = docs.withColumns({"_l": F.xxhash64("_lang"), "_text": F.xxhash64("text")})
+    counted = count_grams(docs)
+    model = probabilities(counted)
+    common.drop(counted)
+    passes = max(1, -(-model.count() // PASS_ENTRIES))
+    scored, later = None, []
+    for k in range(passes):
+        sent = spark.sparkContext.broadcast(log_table(model.where(F.pmod(F.xxhash64("_l", "code"), F.lit(passes)) == k)))
+        if k == 0:
+            scored = common.cut(first_pass(docs, sent))
+        else:  # a text's sum is the same in all its rows
+            later.append(common.cut(next_pass(docs, sent).groupBy("_l", "_text").agg(F.max("total").alias("total"))))
+        sent.destroy()
+    common.drop(model)
+    if later:
+        sums = common.cut(reduce(DataFrame.unionByName, later).groupBy("_l", "_text").agg(F.sum("total").alias("more")))
+        whole = common.cut(scored.join(sums, ["_l", "_text"], "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0.0))).drop("more"))
+        common.drop(scored, sums, *later)
+        scored = whole
+    scored = scored.withColumn("log_perplexity", -F.col("total") / F.col("_length"))
     inside = F.lit(True)
     for name, own in sorted(bands(scored).items()):
         verdict = F.lit(True)
         for octave, low, high in own:
             verdict = F.when(F.col("_octave") >= octave, F.col("log_perplexity").between(low, high)).otherwise(verdict)
         inside = F.when(F.col("_lang") == name, verdict).otherwise(inside)
-    return scored.select("doc_id", *counts, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_perplexity")
+    return scored.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_perplexity")
