@@ -121,3 +121,26 @@ def test_more_strings_than_one_pass_holds_all_count(spark, monkeypatch):
     s = "\2" * (quality.ORDER - 1) + own[0]
     want = -sum(math.log(p(s[k : k + quality.ORDER])) for k in range(len(own[0]))) / len(own[0])
     assert any(abs(r.log_perplexity - want) < 1e-9 for r in parts)
+
+
+def prose(rng, n):
+    syllables = ["the", "on", "ing ", " er", "a ", "ti", "É", "sh"]
+    return "".join(rng.choice(syllables) for _ in range(n)) + " x y" * 12
+
+
+def test_copies_have_one_vote_in_the_bands(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 300), "en") for i in range(150)]
+    df = spark.createDataFrame(rows + [(1000 + i, rows[0][1], "en") for i in range(600)], "doc_id long, text string, lang string").repartition(3)
+    got = quality.quality(df).collect()
+    assert len(got) == 750 and sum(r.kept for r in got if 0 < r.doc_id < 150) >= 145
+
+
+def test_bands_do_not_switch_at_a_number_of_documents():
+    long, other = (np.arange(990, 1010), np.full(20, 5.0)), (np.arange(1100, 1300), np.full(200, 10.0))
+    edges = []
+    for n in (98, 99, 100, 101):
+        own = (long[0], long[1] * n / 100)
+        edges.append(quality.band({8: other, 11: own}, 11))
+    assert max(abs(a - b) for x, y in zip(edges, edges[1:]) for a, b in zip(x, y)) <= 6 * 5 / 500
+    assert quality.band({11: long}, 11) == quality.band({11: long, 8: (np.zeros(0, dtype=int), np.zeros(0))}, 11)

@@ -7,8 +7,8 @@ tables dealt out by hash; a text is scored against at most PASS_ENTRIES of them
 the table needs. As every text is counted, none holds an unseen string. One pass's strings are kept in sorted hash
 arrays with a slot index for the common case.
 
-Each language's documents give a median and a spread of log-perplexity for each octave of text lengths (means
-over long texts scatter less), and documents outside the band around it are rejected: below it
+Each language's distinct texts give a median and a spread of log-perplexity for each octave of text lengths (means
+over long texts scatter less), smoothed over lengths, and documents outside the band around it are rejected: below it
 repetitive or templated text, above it noise.
 """
 
@@ -32,8 +32,8 @@ PASS_ENTRIES = 4_000_000
 LANGUAGES = 64
 #: The band, in spreads (a normal distribution's deviation by its quartiles) below and above the median, and the least spread.
 BELOW, ABOVE, LEAST_SPREAD = 4.0, 6.0, 0.002
-#: An octave with fewer documents takes the next shorter one's band, or that of the whole language.
-LEAST_DOCUMENTS = 100
+#: The most votes that a language's other lengths have in an octave's band.
+VOTES = 100
 MIN_WORDS, MAX_REPEAT = 20, 30
 WINDOW = 8
 _PAD = 2
@@ -198,23 +198,41 @@ def base(column: pa.Array) -> dict[str, np.ndarray]:
 # --- verdicts ----------------------------------------------------------------------------
 
 
-def bands(scored: DataFrame) -> dict[str, list[tuple[int, float, float]]]:
-    """(octave from which on, lowest, highest log-perplexity) by language, from a histogram of all documents that the base rules pass."""
-    rows = scored.where("NOT base_failed").groupBy("_lang", "_octave", F.round(F.col("log_perplexity") * _STEP).cast("int").alias("bin")).count().collect()
+def band(cells: dict[int, tuple[np.ndarray, np.ndarray]], octave: int) -> tuple[float, float]:
+    """The lowest and highest log-perplexity at an octave, from a language's histograms (bins, counts) by octave.
 
-    def band(counts: dict[int, int]) -> tuple[float, float]:
-        bins = sorted(counts)
-        upto = np.cumsum([counts[x] for x in bins])
-        q1, mid, q3 = (bins[int(np.searchsorted(upto, q * upto[-1]))] / _STEP for q in (0.25, 0.5, 0.75))
-        spread = max((q3 - q1) / 1.349, LEAST_SPREAD)
-        return mid - BELOW * spread, mid + ABOVE * spread
+    The octave's texts have a vote each. The language's others have together VOTES * n / (VOTES + n), where n is their number and
+    those of an octave further off count a fourth: they decide where an octave has few texts, and fade out as it gets more.
+    """
+    near = {o: 4.0 ** -abs(o - octave) for o in cells}
+    others = sum(n.sum() * near[o] for o, (_, n) in cells.items() if o != octave)
+    bins = np.concatenate([x for x, _ in cells.values()])
+    votes = np.concatenate([n * (1.0 if o == octave else near[o] * VOTES / (VOTES + others)) for o, (_, n) in cells.items()])
+    order = np.argsort(bins, kind="stable")
+    bins, upto = bins[order], np.cumsum(votes[order])
+    q1, mid, q3 = (bins[min(np.searchsorted(upto, q * upto[-1]), len(bins) - 1)] / _STEP for q in (0.25, 0.5, 0.75))
+    spread = max((q3 - q1) / 1.349, LEAST_SPREAD)
+    return mid - BELOW * spread, mid + ABOVE * spread
+
+
+def bands(scored: DataFrame) -> DataFrame:
+    """_l, _octave, _low and _high, from the distinct texts that the base rules pass; written and read again."""
+    texts = scored.where("NOT base_failed").select("_l", "_octave", "_text", F.round(F.col("log_perplexity") * _STEP).cast("int").alias("bin")).distinct()
+    # a language's histogram has a bounded number of bins, whatever the number of its texts
+    bins = texts.groupBy("_l", "_octave", "bin").agg(F.count("*").alias("n"))
+    cells = bins.groupBy("_l", "_octave").agg(F.collect_list("bin").alias("bins"), F.collect_list("n").alias("ns"))
+    langs = cells.groupBy("_l").agg(F.collect_list(F.struct("_octave", "bins", "ns")).alias("cells"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, own in zip(batch.column("_l").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                by = {c["_octave"]: (np.array(c["bins"]), np.array(c["ns"], dtype=np.float64)) for c in sorted(own, key=lambda c: c["_octave"])}
+                out += [(name, o, *map(float, band(by, o))) for o in by]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.float64(), pa.float64()), strict=True)], ["_l", "_octave", "_low", "_high"])
 
-    cells: dict[str, dict[int, dict[int, int]]] = {}
-    for name, octave, x, n in rows:
-        for o in (-1, octave):
-            own = cells.setdefault(name, {}).setdefault(o, {})
-            own[x] = own.get(x, 0) + n
-    return {name: [(o, *band(counts)) for o, counts in sorted(own.items()) if o < 0 or sum(counts.values()) >= LEAST_DOCUMENTS] for name, own in cells.items()}
+    return common.cut(langs.mapInArrow(run, "_l long, _octave int, _low double, _high double"))
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -286,10 +304,6 @@ def quality(docs: DataFrame) -> DataFrame:
         common.drop(scored, sums, *later)
         scored = whole
     scored = scored.withColumn("log_perplexity", -F.col("total") / F.col("_length"))
-    inside = F.lit(True)
-    for name, own in sorted(bands(scored).items()):
-        verdict = F.lit(True)
-        for octave, low, high in own:
-            verdict = F.when(F.col("_octave") >= octave, F.col("log_perplexity").between(low, high)).otherwise(verdict)
-        inside = F.when(F.col("_lang") == name, verdict).otherwise(inside)
-    return scored.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_perplexity")
+    judged = scored.join(bands(scored), ["_l", "_octave"], "left")
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("_low"), F.col("_high")), F.lit(False))
+    return judged.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_perplexity")
