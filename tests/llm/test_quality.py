@@ -144,3 +144,16 @@ def test_bands_do_not_switch_at_a_number_of_documents():
         edges.append(quality.band({8: other, 11: own}, 11))
     assert max(abs(a - b) for x, y in zip(edges, edges[1:]) for a, b in zip(x, y)) <= 6 * 5 / 500
     assert quality.band({11: long}, 11) == quality.band({11: long, 8: (np.zeros(0, dtype=int), np.zeros(0))}, 11)
+
+
+def test_every_language_has_a_model_of_its_own(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 40) + f" {i}", f"l{i % 70}") for i in range(140)]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for lang in range(70):
+        own = [(i, t) for i, t, x in rows if x == f"l{lang}"]
+        p = model_by_hand([t for _, t in own], quality.ORDER)
+        for i, t in own:
+            s = "\2" * (quality.ORDER - 1) + t.lower()
+            want = -sum(math.log(p(s[k : k + quality.ORDER])) for k in range(len(t))) / len(t)
+            assert abs(got[i].log_perplexity - want) < 1e-9

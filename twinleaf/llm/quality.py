@@ -28,8 +28,6 @@ from . import common
 ORDER = 4
 #: Strings that are sent to the workers at a time; more take more passes over the texts.
 PASS_ENTRIES = 4_000_000
-#: Languages with a model of their own, by documents; all others share one.
-LANGUAGES = 64
 #: The band, in spreads (a normal distribution's deviation by its quartiles) below and above the median, and the least spread.
 BELOW, ABOVE, LEAST_SPREAD = 4.0, 6.0, 0.002
 #: The most votes that a language's other lengths have in an octave's band.
@@ -37,7 +35,6 @@ VOTES = 100
 MIN_WORDS, MAX_REPEAT = 20, 30
 WINDOW = 8
 _PAD = 2
-_OTHER = "\0other"
 _STEP = 500  # bins per unit of log-perplexity
 
 # --- the model ---------------------------------------------------------------------------
@@ -246,7 +243,7 @@ def _totals(part: pa.RecordBatch, table: Table) -> tuple[np.ndarray, np.ndarray]
 
 
 def first_pass(docs: DataFrame, sent) -> DataFrame:
-    """doc_id, _lang, _l, _text, COUNTS, base_failed, _octave, _length and total, the sum of the logarithms in the table sent."""
+    """doc_id, _l, _text, COUNTS, base_failed, _octave, _length and total, the sum of the logarithms in the table sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
@@ -256,10 +253,10 @@ def first_pass(docs: DataFrame, sent) -> DataFrame:
             length = np.maximum(length, 1)
             octave = np.log2(length).astype(np.int32)
             failed = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT * out["n_words"])
-            same = ["doc_id", "_lang", "_l", "_text"]
+            same = ["doc_id", "_l", "_text"]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in same), *(pa.array(out[c].astype(np.int64)) for c in COUNTS), pa.array(failed), pa.array(octave), pa.array(length.astype(np.int64)), pa.array(total)], [*same, *COUNTS, "base_failed", "_octave", "_length", "total"])
 
-    schema = "doc_id long, _lang string, _l long, _text long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, _octave int, _length long, total double"
+    schema = "doc_id long, _l long, _text long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, _octave int, _length long, total double"
     return docs.mapInArrow(run, schema)
 
 
@@ -277,14 +274,11 @@ def next_pass(docs: DataFrame, sent) -> DataFrame:
 def quality(docs: DataFrame) -> DataFrame:
     """The base counts, base_failed, log_perplexity and kept of every row of docs (doc_id, text, lang).
 
-    A null text has no words and fails; a null lang is a language of its own. Repeated rows count and are judged each for itself;
+    A null text has no words and fails; every value of lang is a language of its own, null that of the empty string. Repeated rows count and are judged each for itself;
     other columns are ignored. An empty table gives no row.
     """
     spark = common.ready(docs.sparkSession)
-    docs = docs.select("doc_id", "text", language().alias("_lang"))
-    names = [r[0] for r in docs.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()]
-    docs = docs.withColumn("_lang", F.when(F.col("_lang").isin(names), F.col("_lang")).otherwise(_OTHER))
-    docs = docs.withColumns({"_l": F.xxhash64("_lang"), "_text": F.xxhash64("text")})
+    docs = docs.select("doc_id", "text", F.xxhash64(language()).alias("_l"), F.xxhash64("text").alias("_text"))
     counted = count_grams(docs)
     model = probabilities(counted)
     common.drop(counted)
