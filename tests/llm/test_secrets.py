@@ -46,3 +46,28 @@ def test_no_python_and_long_texts(spark, forest):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
     assert secrets.redact(df, forest).first().text == text.replace("Zx9kQ2mT7pLw", secrets.MARK)
     assert secrets.scan(df.limit(0), forest).count() == 0
+
+
+def test_long_values_prefixed_names_and_whole_keys(spark, forest):
+    import base64
+    import hashlib
+
+    def noise(n):
+        return "".join(hashlib.sha256(f"{n}{k}".encode()).hexdigest() for k in range(n // 64 + 1))[:n]
+
+    lines = "\n".join(base64.b64encode(hashlib.sha512(str(k).encode()).digest()[:48]).decode() for k in range(25))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{lines}\n-----END RSA PRIVATE KEY-----"
+    cases = [  # text with {} for the secret, secret
+        ("token={} end", noise(300)),
+        ("use {} end", "ghp_" + noise(300)),
+        ("use {} end", "xoxb-" + noise(300)),
+        ("db_password: {} end", "Tr0ub4dor3xZ9"),
+        ("DB_PASSWORD = {} end", "Tr0ub4dor3xZ9"),
+        ("MY_DATABASE_PASSWORD={} end", "Tr0ub4dor3xZ9"),
+        ("a key\n{}\nand words", key),
+        ("a key\n{}\nand words", f"-----BEGIN PRIVATE KEY-----\n{lines}"),
+        ("two\n{}\n", "-----BEGIN PRIVATE KEY-----"),
+    ]
+    df = spark.createDataFrame([(k, t.format(v)) for k, (t, v) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(df, forest).collect()}
+    assert [got[k] for k in range(len(cases))] == [t.format(secrets.MARK) for t, _ in cases]

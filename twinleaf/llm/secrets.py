@@ -17,15 +17,20 @@ TREES, DEPTH = 20, 6
 MARK = "[SECRET]"
 # Names and formats that secrets are known by.
 NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth"
-FORMATS = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|sk_(?:live|test)_[0-9A-Za-z]{16,255}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_.-]{10,2000}"
+FORMATS = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_(?:live|test)_[0-9A-Za-z]{16,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_.-]{10,}+"
 BENIGN = r"sha\d*|md5|checksum|digest|commit|rev(?:ision)?|uuid|guid|hash|version|href|src|url|file|path|mail|page|doi|isbn|image|build|id"
 DICTIONARY = "about access account address admin api app auth backup base book build class client cloud code com commit config content count data date default demo dev doc domain download email error event example file font form group guide hash head home host html http image index info item key lang left level library license link list local login mail main master media menu message model module name node note number object option order page param pass password path photo plan port post product project public query release report request root sample script search secret section server service session setting site size source staging static status store string style system table tag target task team temp template test text theme thread time title token tool type update upload user value version video view web widget width window word work your".split()
 PLACEHOLDER = r"example|changeme|change_me|placeholder|dummy|sample|redacted|your|xxx|\*\*\*|\.\.\.|<|\$\{|%s|foobar|12345|abcdef|0000|1111"
 
-PEM = "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
-#: Alternatives begin at word boundaries, or at a token's start, so that most characters are passed over at once.
-CANDIDATE = rf"\b(?:(?i:{NAMES})s?[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?[^\s\"'<>,;]{{6,200}}|{FORMATS})|{PEM}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z_+/=-]{{0,60}}[0-9])[A-Za-z0-9+/_=-]{{16,}}"
-ASSIGNED = rf"(?i)^(?:{NAMES})s?[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"'<>,;]{{6,200}})$"
+KEY = "[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+#: A private key to its END line or, without one, to the end of its base64 lines.
+PEM = rf"-----BEGIN {KEY}(?:(?>(?s:.)*?-----)END {KEY}|\s*[A-Za-z0-9+/=\r\n]*(?<=[A-Za-z0-9+/=])(?![A-Za-z0-9+/=]|[ \t]*[A-Za-z,.;:'!?()-]))?"
+VALUE = r"[^\s\"'<>,;]"
+#: Names begin after anything but a letter, and formats and tokens at a run's start. No part has a greatest length. A token that holds an assignment is left to it.
+ASSIGNMENT = rf"(?<![A-Za-z])(?i:{NAMES})s?[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?{VALUE}"
+TOKEN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[A-Za-z0-9+/_=-]{{16}})(?![A-Za-z0-9+/_=-]*?{ASSIGNMENT}{{6}})[A-Za-z0-9+/_=-]{{16,}}+"
+CANDIDATE = rf"{ASSIGNMENT}{{6,}}+|(?<![A-Za-z0-9])(?:{FORMATS})|{PEM}|{TOKEN}"
+ASSIGNED = rf"(?i)^(?:{NAMES})s?[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?({VALUE}{{6,}})$"
 FEATURES = ["size", "digits", "uppers", "lowers", "others", "transitions", "distinct", "dictionary", "slashes", "dots", "hex", "uuid", "assigned", "format", "placeholder", "secret_near", "benign_near", "at_near", "runs"]
 
 
@@ -49,8 +54,9 @@ def candidates(text: Column) -> Column:
 
 
 def features(c: Column) -> Column:
-    """The FEATURES of a candidate (value, before, after, assigned), all doubles."""
-    v, before = c["value"], F.lower(c["before"])
+    """The FEATURES of a candidate (value, before, after, assigned), all doubles; a private key is known by its first line."""
+    first = F.regexp_extract(c["value"], f"^-----BEGIN {KEY}", 0)
+    v, before = F.when(first != "", first).otherwise(c["value"]), F.lower(c["before"])
     n = F.greatest(F.length(v), F.lit(1))
 
     def share(pattern: str) -> Column:
