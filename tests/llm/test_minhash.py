@@ -3,7 +3,7 @@ import random
 import duckdb
 import numpy as np
 
-from twinleaf.llm import minhash
+from twinleaf.llm import common, minhash
 
 
 def brute(rows, k, percent):
@@ -62,8 +62,6 @@ def test_chains_of_links_are_joined(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)], "a long, b long")
     got = dict(map(tuple, minhash.components(df).collect()))
     assert all(got[i] == 0 for i in range(41)) and {got[100], got[101], got[102]} == {100}
-    tree = spark.createDataFrame([(i, i - 1) for i in range(1, 30)], "id long, parent long")
-    assert all(r == 0 for _, r in minhash.roots(tree).collect())
 
 
 def test_registers_estimate_similarity():
@@ -88,42 +86,82 @@ def test_empty_table_repeated_rows_and_null_ids(spark):
     assert sorted(r.doc_id or 0 for r in minhash.drop_near_duplicates(df, 2).collect()) == [0, 1, 1]
 
 
-def test_blocks_and_families_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 100)
-    monkeypatch.setattr(minhash, "TEXTS", 16)
-    rng = random.Random(9)
-    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+def family(seed, n, words, changed, plain=()):
+    """n texts of so many words, each with some of them replaced by words of its own."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
     rows = []
-    for i in range(400):
+    for i in range(n):
         w = list(base)
-        for k in rng.sample(range(300), 27 if i % 50 else 0):
+        for k in rng.sample(range(words), 0 if i in plain else changed):
             w[k] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(w)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    sketch = minhash.sketches(df, 2).selectExpr("explode(bands) as key", "doc_id as rep", "doc_id as tree", "n_shingles as n", "bits")
-    links = minhash.components(minhash.close_groups(sketch, 80))
-    family = dict(map(tuple, links.collect()))
-    sets = [{(a, b) for a, b in zip(t.split(), t.split()[1:])} for _, t in rows]
-    want = {(x, y) for y in range(len(rows)) for x in range(y) if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])}
-    assert want and all(family[x] == family[y] for x, y in want)
-    members = sketch.select("rep", "tree", "n", "bits").distinct().join(links.toDF("rep", "family"), "rep").join(df.toDF("rep", "text"), "rep")
-    found = minhash.family_links(members, 2, 80).collect()
-    assert len(found) < 60 * len(rows)
-    assert sorted(map(tuple, minhash.near_duplicates(df, 2).collect())) == brute(rows, 2, 80)
-
-
-def test_agreement_varies_as_published():
-    """At the threshold the number of equal bits has the expected mean and no more than the expected spread."""
-    rng = np.random.default_rng(7)
-    for n in (90, 450, 3000):
-        m, runs = minhash.REGISTERS, 60
-        union = rng.integers(0, 1 << 63, (runs, n), dtype=np.uint64)
-        cut = n // 10  # 10 % of either set is its own
-        sets = [np.delete(u, np.s_[:cut]) for u in union] + [np.delete(u, np.s_[cut : 2 * cut]) for u in union]
-        bits = minhash.nibbles(minhash.super_minhash(np.repeat(np.arange(2 * runs), n - cut), np.concatenate(sets), 2 * runs, m))
-        equal = minhash._EQUAL[bits[:runs] ^ bits[runs:]].sum(axis=1, dtype=np.int64)
-        spread = (m * 0.16 * minhash.variance_factor(np.array([n]), m)[0] * (15 / 16) ** 2 + m * 0.2 * 15 / 256) ** 0.5
-        assert abs(equal.mean() - m * (0.8 + 0.2 / 16)) < 4 * spread / runs**0.5
-        assert 0.7 * spread < equal.std() < 1.35 * spread
-        size = np.array([n - cut])
-        assert (equal >= minhash.Agreement(80)(size, size)).all()
+    return rows
+
+
+def test_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    for rounds in (0, 1):  # without leaders every link is found by the exact join
+        monkeypatch.setattr(minhash, "ROUNDS", rounds)
+        rows = family(9, 300, 300, 27, range(0, 300, 50))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(map(tuple, minhash.near_duplicates(df, 2).collect())) == brute(rows, 2, 80)
+
+
+def test_every_pair_at_the_threshold_is_a_candidate(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 30)
+    rows = [*family(3, 60, 90, 5), *((100 + i, t) for i, t in corpus(6, 120) if t)]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    df = spark.createDataFrame([(i, i, t) for i, t in rows], "rep long, tree long, text string")
+    got = {tuple(r) for r in minhash.candidates(minhash.rare_shingles(df, 2, 80), 80).collect()}
+    sets = {i: {tuple(t.encode().lower().split()[k : k + 2]) for k in range(max(len(t.split()) - 1, 1))} for i, t in rows}
+    want = {(x, y) for x in sets for y in sets if y < x and sets[x] != {()} and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])}
+    assert want <= got and len(want) > 100
+
+
+def test_a_family_below_the_threshold_takes_linear_rows(spark):
+    counts = []
+    for n in (400, 1600):
+        rows = family(5, n, 100, 5)  # about 10 of 99 shingles changed: pairs at about 0.68
+        df = spark.createDataFrame([(i, i, t) for i, t in rows], "rep long, tree long, text string")
+        members = minhash.rare_shingles(df, 2, 80)
+        counts.append((members.count(), minhash._blocks(members, ["rep"]).count() if n == 400 else 0, minhash.candidates(members, 80).count()))
+    assert counts[1][0] <= 4.4 * counts[0][0] and counts[1][2] <= 1600
+
+
+def test_structured_words_do_not_collide(spark):
+    text = "a"
+    for _ in range(10):
+        text += text.translate(str.maketrans("ab", "ba"))
+    other = text.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, text), (2, other), (3, f"{text} {other}"), (4, f"{other} {text}")], "doc_id long, text string")
+    assert [r.component_id for r in minhash.near_duplicates(df, 2).orderBy("doc_id").collect()] == [1, 2, 3, 4]
+
+
+def test_equal_hashes_are_told_apart_by_bytes(monkeypatch):
+    monkeypatch.setattr(common.Ranges, "__call__", lambda self, start, end: np.zeros(len(start), dtype=np.uint64))
+    text = "b a b a b c a"
+    row, x = minhash.exact_shingles(np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, 7, len(text)]), 2)
+    assert row.tolist() == [0, 0, 1, 1] and len(set(x.tolist())) == 4
+
+
+def test_a_very_long_text_and_odd_columns(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(3000)}" for _ in range(250_000)]
+    long = " ".join(words)
+    near = " ".join(["start", *words, "end"])
+    rows = [(1, long), (2, near), (3, "short text here"), (4, None)]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, _bits int, _bucket int, _hit int, hit int")
+    out = minhash.drop_near_duplicates(df, 5)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
+    whole = {tuple(words[i : i + 2]) for i in range(len(words) - 1)}
+    got = {r.doc_id: r.n_shingles for r in minhash.near_duplicates(df, 2).collect()}
+    assert got[1] == len(whole)
+    row = np.zeros(50_000, dtype=np.int64)
+    element = rng_elements(50_000)
+    parts = minhash.super_minhash(row, element, 1, 160)
+    assert (parts == minhash.super_minhash(row, element, 1, 160, most=10**9)).all()
+
+
+def rng_elements(n):
+    return np.random.default_rng(4).integers(0, 1 << 63, n, dtype=np.uint64)

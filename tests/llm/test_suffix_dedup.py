@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from twinleaf.llm import common, suffix_dedup
+from twinleaf.llm import suffix_dedup
 
 
 def brute(rows, depth):
@@ -66,8 +66,29 @@ def test_each_window_has_the_leftmost_least_seed():
     data = rng.integers(97, 99, 900, dtype=np.uint8)
     data[300:420] = 97
     bounds = np.array([0, 0, 250, 700, 705, 900])
-    start, n, place = suffix_dedup.anchors(data, bounds, 60, ranges := common.Ranges(data))
-    h = ranges(np.arange(900 - 31), np.arange(900 - 31) + 32)
+    start, n, place, core = suffix_dedup.anchors(data, bounds, 60)
+    h = suffix_dedup.seeds(data)
+    assert (core == h[place]).all()
+    kinds = {}
+    assert all(kinds.setdefault(data[i : i + 32].tobytes(), x) == x for i, x in enumerate(h)) and len(set(kinds.values())) == len(kinds)
     got = {s + k: p for s, c, p in zip(start, n, place) for k in range(c)}
     want = {s: s + int(np.argmin(h[s : s + 29])) for lo, hi in zip(bounds, bounds[1:]) for s in range(lo, hi - 59)}
     assert got == want
+
+
+def thue_morse(steps):
+    text = "a"
+    for _ in range(steps):
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
+def test_structured_strings_and_a_very_long_text(spark):
+    a, b = thue_morse(10)
+    rng = random.Random(7)
+    long = "".join(rng.choice("abcdefgh \n") for _ in range(1_500_000))
+    rows = [(1, "x" + a), (2, "y" + b), (3, long), (4, "!" + long[1_200_000:1_200_199] + "!" + long[700_000:700_250] + "?")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, suffix_dedup.dedup_substrings(df).collect()))
+    assert got[0] == brute([rows[0], rows[1]], 200)[0] and got[1] == brute([rows[0], rows[1]], 200)[1]
+    assert [r[1:4] for r in got[2:]] == [(1_500_000, 250, 1), (199 + 250 + 3, 250, 1)]

@@ -5,12 +5,14 @@ value j + u at the permutation's j-th place, u uniform; a register keeps its lea
 of a batch take step j together, and a document stops as soon as its largest register is
 below the next step. Places and values come from one permutation, hence the lower variance.
 
-Links are found in two passes. First every document is compared with one leader, the document
-of least id that it shares most bands with, which gives a forest. Then documents that share a band but lie in different
-trees are compared within blocks of a bounded number of documents, first by all their registers (four bits of each):
-pairs whose registers agree as often as a similarity at the threshold may make them, but for more than four standard deviations of
-chance, make up families. Each family's texts then meet in blocks, where such pairs are compared on full sets.
-Tasks hand on spanning links of what they found, not all pairs, so no table grows with the square of a group.
+Links are found in two passes. First come ROUNDS rounds of leaders: every document is compared on full sets with
+one leader, of those that the documents of a band key agree on the one that it shares most bands with, in every round
+another one, and what is linked becomes a tree. Then the documents that share a band key with another tree are joined exactly,
+by filters that lose no pair at the threshold: such a pair shares one of either set's rarest shingles (prefix
+filter), and its sizes, its places in the two prefixes and the parity bitmaps of its sets bound what it can share. Pairs that pass are compared on full sets.
+
+A key's documents meet in blocks of a bounded number; documents of the key's largest tree don't meet one another, so a row is
+repeated only as often as there are blocks of other trees.
 """
 
 from __future__ import annotations
@@ -24,41 +26,67 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: 40 bands of 4 registers: a pair at a similarity of 0.8 shares fewer than two bands about twice in 10^8.
+#: 40 bands of 4 registers: a pair at a similarity of 0.8 shares none about 7 times in 10^10.
 BANDS, ROWS = 40, 4
-REGISTERS = 512
-#: Documents of one band key in a block, texts of one family in a block, and standard deviations that chance may take from a pair's agreement.
-BLOCK, TEXTS, DEVIATIONS = 1024, 64, 4.5
+ROUNDS = 3
+#: Documents in a block, and bits of a parity bitmap.
+BLOCK, PARITY = 256, 2048
 _GOLD = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
 
 
-def shingles(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of each row's distinct k-word shingles, sorted; a row of fewer words has all of them as one."""
-    n = len(bounds) - 1
-    start, end, row = common.words(data, bounds)
-    word = common.Ranges(data, lower=True)(start, end)
+def runs(row: np.ndarray, n: int, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The shingles of n rows, whose words' rows are row: (words in a shingle, first word of each). A row of fewer than k words has one of all its words."""
     at = common.per_row(row, n)
     count = np.diff(at)
+    if len(row) >= k:
+        yield k, np.flatnonzero(row[k - 1 :] == row[: len(row) - k + 1])
+    for size in range(1, k):
+        yield size, at[np.flatnonzero(count == size)]
+
+
+def shingles(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, second hash) of each row's distinct k-word shingles, sorted; a row of fewer words has all of them as one."""
+    data = common.LOWER[data]
+    start, end, row = common.words(data, bounds)
+    lanes = [common.Ranges(data, k)(start, end) for k in (0, 1)]
+    rows, hashes = [np.zeros(0, dtype=np.int64)], [np.zeros((2, 0), dtype=np.uint64)]
+    for size, first in runs(row, len(bounds) - 1, k):
+        both = []
+        for word in lanes:
+            found = word[first]
+            for j in range(1, size):
+                found = common.mix(found * np.uint64(_GOLD) + word[first + j])
+            both.append(common.mix(found ^ np.uint64(size * _GOLD & _M64)))
+        rows.append(row[first])
+        hashes.append(np.stack(both))
+    r, h = np.concatenate(rows), np.concatenate(hashes, axis=1)
+    order = np.lexsort((h[0], r))
+    r, h = r[order], h[:, order]
+    new = np.ones(len(r), dtype=bool)
+    new[1:] = (r[1:] != r[:-1]) | (h[0, 1:] != h[0, :-1])
+    return r[new], h[0, new], h[1, new]
 
-    def fold(first: np.ndarray, size: int) -> np.ndarray:
+
+def exact_shingles(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of each row's distinct shingles, sorted; numbers are equal for equal words, byte by byte, only."""
+    data = common.LOWER[data]
+    start, end, row = common.words(data, bounds)
+    word = common.identify(data, start, end, common.Ranges(data))
+    rows, numbers, used = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], 0
+    for size, first in runs(row, len(bounds) - 1, k):
         found = word[first]
         for j in range(1, size):
-            found = common.mix(found * np.uint64(_GOLD) + word[first + j])
-        return common.mix(found ^ np.uint64(size * _GOLD & _M64))
-
-    first = np.flatnonzero(row[k - 1 :] == row[: len(row) - k + 1]) if len(row) >= k else np.zeros(0, dtype=np.int64)
-    rows, hashes = [row[first]], [fold(first, k)]
-    for size in range(1, k):
-        short = np.flatnonzero(count == size)
-        rows.append(short)
-        hashes.append(fold(at[short], size))
-    r, h = np.concatenate(rows), np.concatenate(hashes)
-    order = np.lexsort((h, r))
-    r, h = r[order], h[order]
+            found = common.pair_up(found, word[first + j])
+        rows.append(row[first])
+        numbers.append(found + used)
+        used += len(word)
+    r, x = np.concatenate(rows), np.concatenate(numbers)
+    order = np.lexsort((x, r))
+    r, x = r[order], x[order]
     new = np.ones(len(r), dtype=bool)
-    new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
-    return r[new], h[new]
+    new[1:] = (r[1:] != r[:-1]) | (x[1:] != x[:-1])
+    return r[new], x[new]
 
 
 def super_minhash(row: np.ndarray, element: np.ndarray, n: int, m: int, most: int = 16_000) -> np.ndarray:
@@ -76,6 +104,11 @@ def super_minhash(row: np.ndarray, element: np.ndarray, n: int, m: int, most: in
         rows = by_size[batch == b]
         if not len(rows):
             continue
+        if len(rows) == 1 and count[rows[0]] > most:  # the registers of a large set are the least of its parts'
+            for at in range(first[rows[0]], first[rows[0]] + count[rows[0]], most):
+                part = element[at : min(at + most, first[rows[0]] + count[rows[0]])]
+                registers[rows] = np.minimum(registers[rows], _super_minhash(np.zeros(len(part), dtype=np.int64), part, 1, m))
+            continue
         own = np.repeat(np.arange(len(rows)), count[rows])
         at = np.arange(len(own)) - np.repeat(np.cumsum(count[rows]) - count[rows], count[rows]) + np.repeat(first[rows], count[rows])
         registers[rows] = _super_minhash(own, element[at], len(rows), m)
@@ -107,39 +140,10 @@ def _super_minhash(row: np.ndarray, element: np.ndarray, n: int, m: int) -> np.n
     return registers
 
 
-def nibbles(registers: np.ndarray) -> np.ndarray:
-    """Four bits of each register, two to a byte."""
-    bits = (common.mix(registers) & np.uint64(15)).astype(np.uint8)
-    return bits[:, ::2] << 4 | bits[:, 1::2]
-
-
-_EQUAL = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], dtype=np.uint8)
-
-
-_BAND_BYTES = 4 * BANDS
-
-
-def variance_factor(union: np.ndarray, m: int) -> np.ndarray:
-    """What the variance of the share of equal registers is to plain MinHash's, by the size of two sets' union (published for SuperMinHash)."""
-    u = np.maximum(union, 2).astype(float)[:, None]
-    k = np.arange(1, m)
-    terms = (k / (m - 1)) ** u * (((k + 1) / m) ** u + ((k - 1) / m) ** u - 2 * (k / m) ** u)
-    return np.clip(1 - terms.sum(axis=1) * (m - 1) / (u[:, 0] - 1), 0.0, 1.0)
-
-
-class Agreement:
-    """The least number of equal register bits that a pair at the threshold has, but for so many deviations of chance."""
-
-    def __init__(self, percent: int, deviations: float = DEVIATIONS, m: int = REGISTERS):
-        j = percent / 100
-        self.steps = np.unique(np.round(np.geomspace(2, 1 << 17, 120)).astype(np.int64))
-        spread = m * j * (1 - j) * variance_factor(self.steps, m) * (15 / 16) ** 2 + m * (1 - j) * 15 / 256
-        self.least = np.floor(m * (j + (1 - j) / 16) - deviations * np.sqrt(spread))
-        self.share = 1 + j
-
-    def __call__(self, n: np.ndarray, other: np.ndarray) -> np.ndarray:
-        union = (n + other) / self.share  # at the threshold
-        return self.least[np.minimum(np.searchsorted(self.steps, union), len(self.steps) - 1)]
+def parities(row: np.ndarray, element: np.ndarray, n: int) -> np.ndarray:
+    """n x PARITY / 8 bytes: a bit is set if an odd number of the row's elements fall on it, so at most as many bits differ between rows as elements do."""
+    odd = np.bincount(row * PARITY + (element >> np.uint64(17) & np.uint64(PARITY - 1)).astype(np.int64), minlength=n * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, PARITY), axis=1)
 
 
 def band_keys(registers: np.ndarray, rows: int) -> np.ndarray:
@@ -153,70 +157,104 @@ def band_keys(registers: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, two sums that identify the set, the band keys and the registers' bits with the low halves of the band keys."""
+    """doc_id, n_shingles, two sums that identify the set, and the band keys."""
     common.ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, "text"):
             n = part.num_rows
-            row, h = shingles(*common.buffers(part.column("text")), k)
+            row, h, twin = shingles(*common.buffers(part.column("text")), k)
             count = np.bincount(row, minlength=n)
             some = np.flatnonzero(count)
             sums = np.zeros((2, n), dtype=np.uint64)
             if len(some):
                 at = common.per_row(row, n)[some]
-                sums[0, some], sums[1, some] = np.add.reduceat(common.mix(h), at), np.add.reduceat(common.mix(h ^ np.uint64(_GOLD)), at)
-            registers = super_minhash(row, h, n, REGISTERS)
-            bits = nibbles(registers)
-            keys = np.ascontiguousarray(band_keys(registers[:, : BANDS * ROWS], ROWS))
-            bits = np.concatenate([(keys & np.uint64(0xFFFFFFFF)).astype("<u4").view(np.uint8), bits], axis=1)
-            keys = common.signed(keys)
+                sums[0, some], sums[1, some] = np.add.reduceat(common.mix(h), at), np.add.reduceat(common.mix(twin ^ np.uint64(_GOLD)), at)
+            keys = common.signed(np.ascontiguousarray(band_keys(super_minhash(row, h, n, BANDS * ROWS), ROWS)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(common.signed(sums[0])), pa.array(common.signed(sums[1])), lists, pa.array([x.tobytes() for x in bits], pa.binary())], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(common.signed(sums[0])), pa.array(common.signed(sums[1])), lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def texts_of(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
+    """(id, text) of docs whose id may be among ids; repeated: rows may repeat and then come once."""
+    found = common.may_hold(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, "id", "hit").where("hit").select("id", "text")
+    return found.join(ids.select("id").distinct(), "id", "left_semi").distinct() if repeated else found
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, repeated: bool = True) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    texts = common.may_hold(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, "id").where("_hit").select("id", "text")
+    texts = texts_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), repeated)
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, "text_a"):
             n = part.num_rows
-            (ra, ha), (rb, hb) = (shingles(*common.buffers(part.column(c)), k) for c in ("text_a", "text_b"))
-            r, h = np.concatenate([ra, rb]), np.concatenate([ha, hb])
-            order = np.lexsort((h, r))
-            r, h = r[order], h[order]
-            shared = np.bincount(r[1:][(r[1:] == r[:-1]) & (h[1:] == h[:-1])], minlength=n)
+            (data, bounds), (other, more) = (common.buffers(part.column(c)) for c in ("text_a", "text_b"))
+            r, x = exact_shingles(np.concatenate([data, other]), np.concatenate([bounds, bounds[-1] + more[1:]]), k)
+            order = np.lexsort((x, r % n))
+            r, x = r[order] % n, x[order]
+            shared = np.bincount(r[1:][(r[1:] == r[:-1]) & (x[1:] == x[:-1])], minlength=n)
             union = np.bincount(r, minlength=n) - shared
             yield part.select(["a", "b"]).filter(pa.array((100 * shared >= percent * union) & (union > 0)))
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def _blocks(members: DataFrame, group: str, size: int, keep: list[str]) -> DataFrame:
-    """members in blocks: a row for each pair of blocks of its group that it is part of, sorted by group, lo, hi.
+def rare_shingles(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(key, rep, tree, n, pos, bits) for texts (rep, tree, text): the shingles of each set's prefix that another tree's sets have too.
 
-    A group's members are dealt into blocks, and each two blocks meet in one place, so no task holds more than two
-    blocks of a group however many members it has.
+    Shingles are ordered from rare to frequent among these sets. Two sets with 100 * intersection >= percent * union share a
+    shingle that is within the first n - ceil(percent * n / 100) + 1 of either. pos counts from 1; bits is the set's parity bitmap.
     """
-    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
-    dealt = members.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.col(group).alias("key"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", *keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.slices(batches, "text"):
+            row, h, _ = shingles(*common.buffers(part.column("text")), k)
+            at = common.per_row(row, part.num_rows)
+            bits = [x.tobytes() for x in parities(row, h, part.num_rows)]
+            yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("tree"), pa.array(np.diff(at)), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(common.signed(h)))], ["rep", "tree", "n", "bits", "elements"])
+
+    sets = common.cut(texts.select("rep", "tree", "text").mapInArrow(run, "rep long, tree long, n long, bits binary, elements array<long>"))
+    each = sets.select("rep", "tree", "n", "bits", F.explode("elements").alias("key"))
+    often = common.cut(each.groupBy("key").agg(F.count("*").alias("c"), F.min("tree").alias("x"), F.max("tree").alias("y")).where("c > 1").select("key", "c", (F.col("x") != F.col("y")).alias("across")))
+    mine = each.join(often, "key").groupBy("rep", "tree", "n", "bits").agg(F.collect_list(F.struct("c", "key", "across")).alias("xs"))
+    # a set's shingles that no other has come first and are only counted
+    alone = F.col("n") - F.size("xs")
+    last = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    prefix = mine.select("rep", "tree", "n", "bits", alone.alias("alone"), F.posexplode(F.slice(F.array_sort("xs"), F.lit(1), F.greatest(last - alone, F.lit(0)).cast("int"))).alias("i", "x"))
+    found = common.cut(prefix.where("x.across").select("x.key", "rep", "tree", "n", (F.col("alone") + F.col("i") + 1).alias("pos"), "bits"))
+    common.drop(sets, often)
+    return found
+
+
+def _blocks(members: DataFrame, keep: list[str]) -> DataFrame:
+    """members (key, rep, tree, ...) in blocks: a row for each pair of blocks of its key that it is part of, sorted by key, lo, hi.
+
+    A key's members are dealt into blocks of about BLOCK rows, and each two blocks meet in one place, but for two blocks
+    of the key's largest tree. No task holds more than two blocks of a key however many members it has.
+    """
+    trees = members.groupBy("key", "tree").agg(F.count("*").alias("c"))
+    sizes = trees.groupBy("key").agg(F.max(F.struct("c", "tree")).alias("most"), F.sum("c").alias("all"))
+    most = F.ceil(F.col("most.c") / BLOCK).cast("int")
+    sizes = sizes.select("key", F.col("most.tree").alias("first"), most.alias("of_first"), F.ceil((F.col("all") - F.col("most.c")) / BLOCK).cast("int").alias("of_rest")).where("of_rest > 0")
+    dealt = members.join(sizes, "key").withColumn("is_first", F.col("tree") == F.col("first"))
+    deal = F.xxhash64("rep")
+    dealt = dealt.withColumn("own", F.when(F.col("is_first"), F.col("of_rest") + F.pmod(deal, F.col("of_first"))).otherwise(F.pmod(deal, F.col("of_rest"))).cast("int"))
+    # the first blocks are those of the rest: they meet all
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("is_first"), F.col("of_rest")).otherwise(F.col("of_rest") + F.col("of_first")) - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", *keep)
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int, nbytes: int) -> Iterator[pa.Table]:
-    """The batches put together so that no (key, lo, hi) is cut, at about so many rows or bytes."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches put together so that no (key, lo, hi) is cut, at about so many rows."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             held.append(batch.slice(at, 256))
-            if sum(b.num_rows for b in held) < rows and sum(b.nbytes for b in held) < nbytes:
+            if sum(b.num_rows for b in held) < rows:
                 continue
             part = pa.Table.from_batches(held)
             group = np.stack([part.column(c).to_numpy() for c in ("key", "lo", "hi")])
@@ -230,123 +268,37 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int, nbytes: int) ->
     common.give_back()
 
 
-def _pairs(part: pa.Table, agreement: Agreement, percent: int, first_band: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of the same group and different trees whose registers agree enough; first_band: only in the first band that they share."""
-    key, lo, hi, own, tree, n = (part.column(c).to_numpy() for c in ("key", "lo", "hi", "own", "tree", "n"))
-    bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), dtype=np.uint8).reshape(len(key), -1)
-    bands, bits = np.ascontiguousarray(bits[:, :_BAND_BYTES]).view("<u4"), np.ascontiguousarray(bits[:, _BAND_BYTES:])
-    band = (bands == (key & 0xFFFFFFFF).astype(np.uint32)[:, None]).argmax(axis=1)
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-    group = np.cumsum(new) - 1
-    i = np.arange(len(key))
-    for d in range(1, len(key)):
-        i = i[i + d < len(key)]
-        i = i[group[i] == group[i + d]]
-        if not len(i):
-            break
-        j = i + d
-        ok = (tree[i] != tree[j]) & ((own[i] != own[j]) | (lo[i] == hi[i])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-        x, y = i[ok], j[ok]
-        for at in range(0, len(x), 1 << 14):
-            p, q = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
-            if first_band:
-                first = (bands[p] == bands[q]).argmax(axis=1) == band[p]
-                p, q = p[first], q[first]
-            near = _EQUAL[bits[p] ^ bits[q]].sum(axis=1, dtype=np.int64) >= agreement(n[p], n[q])
-            if near.any():
-                yield p[near], q[near]
-
-
-class _Spanning:
-    """Union-find of what one task links; hands on a link for each member but its tree's least."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while (above := self.up.setdefault(x, x)) != x:
-            self.up[x] = x = self.up[above]
-        return x
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = self.root(x), self.root(y)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
-
-    def batch(self) -> pa.RecordBatch:
-        links = [(x, r) for x in sorted(self.up) if (r := self.root(x)) != x]
-        a, b = [x for x, _ in links], [r for _, r in links]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def close_groups(members: DataFrame, percent: int, deviations: float = DEVIATIONS) -> DataFrame:
-    """Links (a, b) that span the members (key, rep, tree, n, bits) that share a band key, lie in different trees and may be similar."""
-    agreement = Agreement(percent, deviations)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _whole_groups(batches, 10_000, 8 << 20):
-            rep, links = part.column("rep").to_numpy(), _Spanning()
-            for p, q in _pairs(part, agreement, percent, True):
-                links.add(rep[p], rep[q])
-            yield links.batch()
-
-    return _blocks(members, "key", BLOCK, ["rep", "tree", "n", "bits"]).mapInArrow(run, "a long, b long")
-
-
-def family_links(members: DataFrame, k: int, percent: int, deviations: float = DEVIATIONS) -> DataFrame:
-    """Links (a, b) that span what is linked among members (family, rep, tree, n, bits, text) of the same family and different trees, by full sets."""
-    agreement = Agreement(percent, deviations)
+def candidates(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a > b, of members (rare_shingles()) of the same key and different trees that sizes, places and bitmaps allow; some come repeatedly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _whole_groups(batches, 4096, 1 << 20):
-            rep, links = part.column("rep").to_numpy(), _Spanning()
-            row, h = shingles(*common.buffers(part.column("text").combine_chunks()), k)
-            kinds, which = np.unique(h, return_inverse=True)
-            place = row * max(len(kinds), 1) + which  # rising
-            at = common.per_row(row, part.num_rows)
-            size = np.diff(at)
-            for p, q in _pairs(part, agreement, percent, False):
-                steps = np.cumsum(size[p])
-                for lo, hi in _chunks(steps, 1 << 18):
-                    a, b = p[lo:hi], q[lo:hi]
-                    pair = np.repeat(np.arange(len(a)), size[a])
-                    own = np.arange(len(pair)) - np.repeat(np.cumsum(size[a]) - size[a], size[a]) + np.repeat(at[a], size[a])
-                    wanted = b[pair] * max(len(kinds), 1) + which[own]
-                    there = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
-                    shared = np.bincount(pair[place[there] == wanted], minlength=len(a))
-                    linked = 100 * shared >= percent * (size[a] + size[b] - shared)
-                    links.add(rep[a[linked]], rep[b[linked]])
-            yield links.batch()
-
-    return _blocks(members, "family", TEXTS, ["rep", "tree", "n", "bits", "text"]).mapInArrow(run, "a long, b long")
-
-
-def _chunks(steps: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of a rising sum's places that come to most, or to one place."""
-    lo = 0
-    while lo < len(steps):
-        done = steps[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(steps, done + most, side="right")))
-        yield lo, hi
-        lo = hi
-
-
-def roots(parents: DataFrame) -> DataFrame:
-    """(id, root) of a forest (id, parent), parent < id, by pointer jumping."""
-    now = common.cut(parents.select("id", F.col("parent").alias("root")))
-    while True:
-        up = now.toDF("up", "above")
-        nxt = common.cut(now.join(up, F.col("root") == F.col("up"), "left").select("id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
-        common.drop(now)
-        now = nxt
-        moved = not now.where("moved").isEmpty()
-        kept = now.select("id", "root")
-        kept._cut_path = now._cut_path
-        now = kept
-        if not moved:
-            return now
+        for part in _whole_groups(batches, 8192):
+            key, lo, hi, own, rep, tree, n, pos = (part.column(c).to_numpy() for c in ("key", "lo", "hi", "own", "rep", "tree", "n", "pos"))
+            bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), dtype=np.uint64).reshape(len(key), -1)
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+            group = np.cumsum(new) - 1
+            found = [np.zeros((0, 2), dtype=np.int64)]
+            i = np.arange(len(key))
+            for d in range(1, len(key)):
+                i = i[i + d < len(key)]
+                i = i[group[i] == group[i + d]]
+                if not len(i):
+                    break
+                j = i + d
+                both = n[i] + n[j]
+                room = 1 + np.minimum(n[i] - pos[i], n[j] - pos[j])
+                ok = (tree[i] != tree[j]) & ((own[i] != own[j]) | (lo[i] == hi[i])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((100 + percent) * room >= percent * both)
+                p, q, both = i[ok], j[ok], both[ok]
+                apart = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
+                near = apart * (100 + percent) <= (100 - percent) * both
+                if near.any():
+                    p, q = rep[p[near]], rep[q[near]]
+                    found.append(np.stack([np.maximum(p, q), np.minimum(p, q)], axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return _blocks(members, ["rep", "tree", "n", "pos", "bits"]).mapInArrow(run, "a long, b long").where("a <> b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -377,49 +329,72 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     similarity is percent / 100 or more, and a component is what links reach. Texts that are null or
     have no word have an empty set and are linked with nothing. Rows of equal sets are one class,
     of which only the least id is compared. Rows that share an id are one document to the others, and
-    each gets its own row. A null id gives component null and kept false. Further columns are ignored.
+    each gets its own row. A null id gives component null and kept false. Texts of any length are taken whole, each
+    within one task. Further columns are ignored; an empty table gives no row.
     """
     docs = docs.select("doc_id", "text")
     rows = common.cut(sketches(docs, k))
+    repeated = not rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 AND doc_id IS NOT NULL").isEmpty()
     key = ["set_a", "set_b", "n_shingles"]
     classes = rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL")
     banded = rows.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    leaders = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").select("key", "leader")
-    shared = common.cut(banded.join(leaders, "key").select("key", "rep", "leader"))
-    # the leader that most bands propose
-    votes = shared.where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("n")).where("n > 1")
-    pairs = common.cut(votes.groupBy("rep").agg(F.max(F.struct("n", (-F.col("leader")).alias("to"))).alias("x")).select(F.col("rep").alias("a"), (-F.col("x.to")).alias("b")))
-    forest = roots(verified(pairs, docs, k, percent).select(F.col("a").alias("id"), F.col("b").alias("parent")).distinct())
-    common.drop(pairs)
-    # across trees
-    traits = common.cut(rows.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bits"))
-    trees = common.cut(traits.select("rep").distinct().join(forest.toDF("rep", "root"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("tree")))
-    placed = shared.select("key", "rep").join(trees, "rep")
-    mixed = common.cut(placed.groupBy("key").agg(F.min("tree").alias("x"), F.max("tree").alias("y")).where("x <> y").select("key"))
-    close = common.cut(close_groups(placed.join(mixed, "key", "left_semi").join(traits, "rep"), percent))
-    families = components(close)
-    texts = common.may_hold(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), families.withColumnRenamed("id", "rep"), "rep").where("_hit").select("rep", "text")
-    members = families.toDF("rep", "family").join(traits, "rep").join(trees, "rep").join(texts, "rep")
-    found = common.cut(family_links(members, k, percent))
-    edges = found.join(trees.toDF("a", "tree_a"), "a").join(trees.toDF("b", "tree_b"), "b").select(F.col("tree_a").alias("a"), F.col("tree_b").alias("b"))
-    joined = components(edges)
-    merged = common.cut(trees.join(joined.toDF("tree", "least"), "tree", "left").select("rep", F.coalesce("least", "tree").alias("tree")))
-    common.drop(mixed, close, families, found, trees, joined)
-    trees = merged
-    common.drop(shared, traits)
+    several = banded.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("key")
+    shared = common.cut(banded.join(several, "key", "left_semi"))
+    trees = common.cut(shared.select("rep", F.col("rep").alias("tree")).distinct())
+    for number in range(ROUNDS):
+        placed = shared.join(trees, "rep")
+        order = F.xxhash64("rep", F.lit(number)) if number else F.col("rep")
+        leaders = placed.groupBy("key").agg(F.min(F.struct(order.alias("order"), "rep", "tree")).alias("l"), F.min("tree").alias("x"), F.max("tree").alias("y")).where("x <> y").select("key", F.col("l.rep").alias("leader"), F.col("l.tree").alias("other"))
+        votes = placed.join(leaders, "key").where("tree <> other").groupBy("rep", "leader").agg(F.count("*").alias("n"))
+        pairs = common.cut(votes.groupBy("rep").agg(F.max(F.struct("n", (-F.col("leader")).alias("to"))).alias("x")).select(F.col("rep").alias("a"), (-F.col("x.to")).alias("b")))
+        if left := not pairs.isEmpty():
+            trees = _joined(trees, verified(pairs, docs, k, percent, repeated))
+        common.drop(pairs)
+        if not left:
+            break
+    # what is left across trees
+    placed = shared.join(trees, "rep")
+    mixed = placed.groupBy("key").agg(F.min("tree").alias("x"), F.max("tree").alias("y")).where("x <> y").select("key")
+    spread = common.cut(placed.join(mixed, "key", "left_semi").select("rep", "tree").distinct())
+    if not spread.isEmpty():
+        texts = texts_of(docs, spread.withColumnRenamed("rep", "id"), repeated).withColumnRenamed("id", "rep")
+        members = rare_shingles(spread.join(texts, "rep"), k, percent)
+        pairs = common.cut(candidates(members, percent).distinct())
+        if not pairs.isEmpty():
+            trees = _joined(trees, verified(pairs, docs, k, percent, repeated))
+        common.drop(members, pairs)
+    common.drop(shared, spread)
     # written first: a join of two shuffled sides, of which Spark can split a hot set's
-    final = common.cut(classes.join(trees, "rep").select(*key, F.col("tree").alias("component")))
+    final = common.cut(classes.join(trees, "rep", "left").select(*key, F.coalesce("tree", "rep").alias("component")))
+    common.drop(trees)
     out = rows.select("doc_id", *key).join(final, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
+def _joined(trees: DataFrame, links: DataFrame) -> DataFrame:
+    """trees (rep, tree) after links (a, b) between reps; trees itself is deleted."""
+    found = common.cut(links)
+    if found.isEmpty():
+        common.drop(found)
+        return trees
+    edges = found.join(trees.toDF("a", "tree_a"), "a").join(trees.toDF("b", "tree_b"), "b").select(F.col("tree_a").alias("a"), F.col("tree_b").alias("b"))
+    joined = components(edges)
+    merged = common.cut(trees.join(joined.toDF("tree", "least"), "tree", "left").select("rep", F.coalesce("least", "tree").alias("tree")))
+    common.drop(found, trees, joined)
+    return merged
+
+
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose document stays: one of each component. A row with a null id stays."""
+    """The rows of docs whose document stays: one document of each component, all columns whatever their names.
+
+    A row with a null id stays, and so does a text without words; rows that share an id are one document and stay or go together.
+    """
     gone = common.cut(near_duplicates(docs, k, percent).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
-    split = common.may_hold(docs, gone)
-    kept = split.where("_hit").drop("_hit").join(gone, "doc_id", "left_anti")
-    return split.where("NOT _hit").drop("_hit").unionByName(kept.select(*docs.columns))
+    hit = common.unused("_hit", docs)
+    split = common.may_hold(docs, gone, "doc_id", hit)
+    kept = split.where(hit).drop(hit).join(gone, "doc_id", "left_anti")
+    return split.where(f"NOT {hit}").drop(hit).unionByName(kept.select(*docs.columns))
 
 
 #: near_duplicates() as DuckDB SQL, all pairs compared; for small tables.

@@ -10,6 +10,9 @@ all bytes that they cover. Runs whose core is found nowhere else are done: their
 Runs that agree in all their bytes are done too: all of them repeat. One run of each kind that is
 left goes into the next pass, split into narrower runs by place relative to the anchor, until in the last pass
 a run is one suffix, its core is all depth bytes, and equal groups are exactly the repeated windows.
+
+Strings are equal where two polynomials over all their bytes modulo 2 ** 61 - 1, in independent random bases, agree.
+Different strings of up to 400 bytes do so with a chance below 10 ** -31, whatever their structure.
 """
 
 from __future__ import annotations
@@ -27,17 +30,31 @@ from . import common
 SEED = 32
 #: Runs per pass: whole runs of one anchor, then this many suffixes, then single ones.
 WIDTHS = (12, 1)
-#: core and full are keys; rel is the first suffix's place relative to the anchor, negative or 0.
-RUNS = "core long, full long, doc long, start long, n int, rel int"
+#: core, full and twin (full's second lane) are keys; rel is the first suffix's place relative to the anchor, negative or 0.
+RUNS = "core long, full long, twin long, doc long, start long, n int, rel int"
+KIND = ["core", "full", "twin"]
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray, depth: int, ranges: common.Ranges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First suffix, number of suffixes and anchor of every run, from rows of at least depth bytes."""
+def seeds(data: np.ndarray) -> np.ndarray:
+    """A hash of the SEED bytes from each place on: its 64-bit words, mixed one after another."""
+    words = np.empty(max(len(data) - 7, 0), dtype=np.uint64)
+    for k in range(8):
+        own = data[k : k + (len(data) - k) // 8 * 8].view("<u8")
+        words[k::8] = own[: len(words[k::8])]
     size = len(data) - SEED + 1
-    if size <= 0:
-        return (np.zeros(0, dtype=np.int64),) * 3
-    at = np.arange(size)
-    h = ranges(at, at + SEED)
+    h = words[:size].copy()
+    for at in range(8, SEED, 8):
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += words[at : at + size]
+    return common.mix(h)
+
+
+def anchors(data: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First suffix, number of suffixes, anchor and the anchor's hash of every run, from rows of at least depth bytes."""
+    if len(data) < depth:
+        return (*(np.zeros(0, dtype=np.int64),) * 3, np.zeros(0, dtype=np.uint64))
+    h = seeds(data)
     span = depth - SEED + 1
     least, width = h.copy(), 1
     while width * 2 <= span:
@@ -45,8 +62,6 @@ def anchors(data: np.ndarray, bounds: np.ndarray, depth: int, ranges: common.Ran
         width *= 2
     rest = span - width
     windows = len(data) - depth + 1
-    if windows <= 0:
-        return (np.zeros(0, dtype=np.int64),) * 3
     low = np.minimum(least[:windows], least[rest : rest + windows])
     # the leftmost place at or after the window's start that holds the window's least hash
     place = _first_at_or_after(h, low)
@@ -58,7 +73,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray, depth: int, ranges: common.Ran
     new = np.ones(len(start), dtype=bool)
     new[1:] = (np.diff(start) != 1) | (place[1:] != place[:-1])
     first = np.flatnonzero(new)
-    return start[first], np.diff(np.r_[first, len(start)]), place[first]
+    return start[first], np.diff(np.r_[first, len(start)]), place[first], h[place[first]]
 
 
 def _first_at_or_after(h: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -98,13 +113,11 @@ def first_runs(docs: DataFrame, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, "text"):
             data, bounds = common.buffers(part.column("text"))
-            ranges = common.Ranges(data)
-            start, n, place = anchors(data, bounds, depth, ranges)
+            start, n, place, core = anchors(data, bounds, depth)
             row = np.searchsorted(bounds, start, side="right") - 1
             rel = start - place
-            core = ranges(place, place + SEED)
-            full = _full(ranges, start, n, rel, depth)
-            yield _batch(core, full, part.column("_row").to_numpy()[row], start - bounds[row], n, rel)
+            lanes = [_full(common.Ranges(data, k), start, n, rel, depth) for k in (0, 1)]
+            yield _batch(core, *lanes, part.column("_row").to_numpy()[row], start - bounds[row], n, rel)
 
     return docs.select("_row", "text").mapInArrow(run, RUNS)
 
@@ -113,8 +126,8 @@ def _full(ranges: common.Ranges, start: np.ndarray, n: np.ndarray, rel: np.ndarr
     return common.mix(ranges(start, start + n - 1 + depth) ^ common.mix((n.astype(np.int64) << 32 | (rel.astype(np.int64) & 0xFFFFFFFF)).view(np.uint64)))
 
 
-def _batch(core, full, doc, start, n, rel) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(common.signed(core)), pa.array(common.signed(full)), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n.astype(np.int32)), pa.array(rel.astype(np.int32))], ["core", "full", "doc", "start", "n", "rel"])
+def _batch(core, full, twin, doc, start, n, rel) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(common.signed(x)) for x in (core, full, twin)), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n.astype(np.int32)), pa.array(rel.astype(np.int32))], [*KIND, "doc", "start", "n", "rel"])
 
 
 def split_runs(docs: DataFrame, depth: int, width: int) -> DataFrame:
@@ -123,7 +136,7 @@ def split_runs(docs: DataFrame, depth: int, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, "text"):
             data, bounds = common.buffers(part.column("text"))
-            ranges = common.Ranges(data)
+            ranges, other = common.Ranges(data), common.Ranges(data, 1)
             lists = part.column("runs")
             own = lists.flatten()
             row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
@@ -137,7 +150,7 @@ def split_runs(docs: DataFrame, depth: int, width: int) -> DataFrame:
             # common to all suffixes of a block, wherever its runs begin and end
             anchor = s - lo
             core = common.mix(ranges(anchor + block * width + width - 1, anchor + block * width + depth) ^ common.mix(above[i].view(np.uint64) + block.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-            yield _batch(core, _full(ranges, s, hi - lo, lo, depth), part.column("_row").to_numpy()[row[i]], s - bounds[row[i]], hi - lo, lo)
+            yield _batch(core, *(_full(x, s, hi - lo, lo, depth) for x in (ranges, other)), part.column("_row").to_numpy()[row[i]], s - bounds[row[i]], hi - lo, lo)
 
     return docs.select("_row", "text", "runs").mapInArrow(run, RUNS)
 
@@ -150,8 +163,8 @@ def repeated_spans(docs: DataFrame, depth: int) -> DataFrame:
         shared = common.cut(runs.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"))
         live = common.cut(runs.join(shared, "core", "left_semi"))
         common.drop(runs, shared)
-        kinds = common.cut(live.groupBy("core", "full").agg(F.count("*").alias("c"), F.min(F.struct("doc", "start", "n", "rel")).alias("first")))
-        found.append(common.cut(live.join(kinds.where("c > 1").select("core", "full"), ["core", "full"], "left_semi").select("doc", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + depth).alias("hi"))))
+        kinds = common.cut(live.groupBy(*KIND).agg(F.count("*").alias("c"), F.min(F.struct("doc", "start", "n", "rel")).alias("first")))
+        found.append(common.cut(live.join(kinds.where("c > 1").select(*KIND), KIND, "left_semi").select("doc", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + depth).alias("hi"))))
         common.drop(live)
         if width is None:
             common.drop(kinds)
@@ -159,7 +172,7 @@ def repeated_spans(docs: DataFrame, depth: int) -> DataFrame:
         several = common.cut(kinds.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core"))
         nxt = kinds.join(several, "core", "left_semi").select("core", "first.*")
         per_doc = common.cut(nxt.groupBy(F.col("doc").alias("_row")).agg(F.collect_list(F.struct("core", "start", "n", "rel")).alias("runs")))
-        texts = common.may_hold(docs, per_doc, "_row").where("_hit").select("_row", "text")
+        texts = common.may_hold(docs, per_doc, "_row", "_hit").where("_hit").select("_row", "text")
         runs = common.cut(split_runs(texts.join(per_doc, "_row"), depth, width))
         common.drop(kinds, several, per_doc)
     spans = found[0]
@@ -184,8 +197,8 @@ def dedup_substrings(docs: DataFrame, depth: int = 200, with_text: bool = False)
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of the
     remaining bytes, with_text also kept (binary: a cut may fall inside a character). Strings never run from one text into
     another and are judged on the input. A null text is empty; a text shorter than depth loses nothing. Each row of docs is a
-    text of its own, so of rows with equal ids each gets its row, and long repeated rows remove one another. Other columns
-    are ignored; an empty table gives no row.
+    text of its own, so of rows with equal ids each gets its row, and long repeated rows remove one another. Texts of any
+    length are taken whole, each within one task, in a few dozen bytes of memory for each of its bytes. Other columns are ignored; an empty table gives no row.
     """
     common.ready(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -214,7 +227,7 @@ def dedup_substrings(docs: DataFrame, depth: int = 200, with_text: bool = False)
             kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_text
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds)])
 
-    split = common.may_hold(docs, per_row, "_row")
+    split = common.may_hold(docs, per_row, "_row", "_hit")
     hit = split.where("_hit").join(per_row, "_row", "left").select("doc_id", "text", "spans")
     rest = split.where("NOT _hit").select("doc_id", "text", F.lit(None).cast(hit.schema["spans"].dataType).alias("spans"))
     return hit.unionByName(rest).mapInArrow(run, schema)
