@@ -21,9 +21,7 @@ def brute(rows, sites):
             out.append((i, 0, 0, None))
             continue
         lines = t.split("\n")
-        kept = [x for x in lines if len(spread[x.strip(" \t\r")]) < sites] if i is not None else lines
-        if (len(t) - len("\n".join(kept))) * 2 > len(t):
-            kept = lines
+        kept = [x for x in lines if len(spread[x.strip(" \t\r")]) < sites]
         n = lambda xs: sum(bool(x.strip(" \t\r")) for x in xs)
         out.append((i, n(lines), len(lines) - len(kept), hashlib.md5("\n".join(kept).encode()).hexdigest()))
     return sorted(out, key=str)
@@ -53,10 +51,22 @@ def test_matches_brute_force_and_sql(spark):
 
 
 def test_other_columns_null_ids_and_nothing(spark):
-    rows = [(i, f"mine {i} is long enough\nboiler", f"s{i}", "x", i) for i in range(11)] + [(None, "a text without an id\nboiler", "s1", "x", 5), (3, "again, with the same id\nboiler", None, "y", 6)]
-    out = line_dedup.remove_boilerplate(spark.createDataFrame(rows, SCHEMA), 10)
+    schema = SCHEMA + ", _hit int, _n string, _keys int"
+    rows = [(i, f"mine {i}\nboiler\n\nboiler ", f"s{i}", "x", i, i, "n", 1) for i in range(11)]
+    rows += [(None, "a text without an id\nboiler", "s1", "x", 5, 1, "n", 1), (None, "boiler\n another", "s1", "x", 5, 1, "n", 1), (3, "the same id\nboiler", None, "y", 6, 1, "n", 1), rows[4], (5, None, "s1", "x", 1, 1, "n", 1)]
+    out = line_dedup.remove_boilerplate(spark.createDataFrame(rows, schema), 10)
     got = out.collect()
-    assert set(out.columns) == {"doc_id", "text", "source", "n_lines", "n_removed", "other"} and len(got) == 13
-    assert all(("boiler" in r.text) == (r.doc_id is None) for r in got)
+    assert set(out.columns) == {*schema.replace(",", "").split()[::2], "n_removed"} and len(got) == len(rows)
+    assert sorted(str(r.text) for r in got) == sorted(str(t and t.replace("\nboiler ", "").replace("\nboiler", "").replace("boiler\n", "")) for _, t, *_ in rows)
+    assert sorted(r.n_removed for r in got) == [0] + [1] * 3 + [2] * 12
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
     assert "Python" not in out._jdf.queryExecution().toString() and "Arrow" not in out._jdf.queryExecution().toString()
+
+
+def test_a_very_long_text_and_a_page_of_nothing_but_boilerplate(spark):
+    shared = [f"common line {k}" for k in range(30)]
+    rows = [(i, "\n".join(shared), f"s{i}", "x", 1) for i in range(12)]
+    long = "\n".join(f"line {k}" if k % 3 else shared[k % 30] for k in range(120_000))
+    got = {r.doc_id: r for r in line_dedup.remove_boilerplate(spark.createDataFrame([*rows, (50, long, "s1", "x", 1)], SCHEMA), 10).collect()}
+    assert got[50].n_removed == 40_000 and got[50].text == "\n".join(f"line {k}" for k in range(120_000) if k % 3)
+    assert all(got[i].text == "" and got[i].n_removed == 30 for i in range(12))

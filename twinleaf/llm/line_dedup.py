@@ -2,10 +2,7 @@
 
 A HyperLogLog sketch of the sites is kept for each line's hash and merged by aggregation, so a line of
 many documents is condensed before it is shuffled. Only lines whose estimate is near the
-threshold get an exact distinct count. Lines at or above the threshold are boilerplate and removed.
-
-A document that would lose more than half of its characters doesn't carry boilerplate but is a copy of
-other documents; it stays whole, for near-duplicate detection to judge.
+threshold get an exact distinct count. Lines at or above the threshold are boilerplate and removed wherever they stand.
 """
 
 from __future__ import annotations
@@ -48,35 +45,41 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return sure.unionByName(pairs.groupBy("key").count().where(F.col("count") >= min_sites).select("key"))
 
 
+def removed_lines(docs: DataFrame, bad: DataFrame, names: dict[str, str]) -> DataFrame:
+    """For each document and text with lines of a key in bad: names' id, hash (of id and text), gone (for its lines up to the last such one whether they go) and n (of them); written and read again."""
+    lines = docs.select(F.col("doc_id").alias(names["id"]), F.xxhash64("doc_id", "text").alias(names["hash"]), F.posexplode(F.transform(_lines(F.col("text")), lambda x: F.when(_bare(x) != "", _key(x)))).alias("at", "key")).where("key IS NOT NULL")
+    found = lines.join(bad, "key", "left_semi").groupBy(names["id"], names["hash"]).agg(F.sort_array(F.collect_set("at")).alias("at"))
+    before = F.concat(F.array(F.lit(-1)), F.slice("at", F.lit(1), F.size("at") - 1))
+    steps = F.zip_with("at", before, lambda x, y: F.concat(F.array_repeat(F.lit(False), x - y - 1), F.array(F.lit(True))))
+    return common.cut(found.select(names["id"], names["hash"], F.flatten(steps).alias(names["gone"]), F.size("at").cast("long").alias(names["n"])))
+
+
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """docs with their text less the boilerplate lines, and n_lines and n_removed (lines that aren't blank).
 
     Lines end at \\n and are compared without spaces, tabs and carriage returns at their ends; blank lines stay. A null text stays null and has no lines.
-    Rows that share an id share their removed lines; a row with a null id stays as it is. Columns
-    n_lines and n_removed of docs are replaced; all others are kept. An empty table gives no row.
+    A row is judged by its own text: rows that share an id, repeat or have a null id lose their boilerplate like all others. Texts of any length are taken whole, in work
+    and memory that grow with the number of their lines. Columns n_lines and n_removed of docs are replaced; all others are kept, whatever their names. An empty table gives no row.
     """
+    names = {k: common.unused(f"_{k}", docs) for k in ("id", "hash", "gone", "n", "hit")}
     bad = common.cut(boilerplate(docs, min_sites))
-    hits = common.cut(line_keys(docs).where("doc_id IS NOT NULL").select("doc_id", "key").join(bad, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("_keys")))
-    split = common.may_hold(docs, hits)
-    some = split.where("_hit").drop("_hit").join(hits, "doc_id", "left")
-    none = split.where("NOT _hit").drop("_hit").withColumn("_keys", F.lit(None).cast("array<long>"))
-    keys = F.coalesce("_keys", F.array().cast("array<long>"))
-    both = some.select(*docs.columns, "_keys").unionByName(none)
-    left = F.filter(_lines(F.col("text")), lambda x: (_bare(x) == "") | ~F.array_contains(keys, _key(x)))
-    both = both.withColumn("_left", F.when(F.size(keys) > 0, F.array_join(left, "\n")).otherwise(F.col("text")))
-    both = both.withColumn("_left", F.when((F.length("text") - F.length("_left")) * 2 > F.length("text"), F.col("text")).otherwise(F.col("_left")))
-
-    def filled(text: str) -> Column:
-        return F.coalesce(F.size(F.filter(_lines(F.col(text)), lambda x: _bare(x) != "")), F.lit(0)).cast("long")
-
-    both = both.withColumn("n_lines", filled("text"))
-    n_removed = F.when(F.size(keys) > 0, F.col("n_lines") - filled("_left")).otherwise(F.lit(0)).cast("long")
-    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return both.select(*others, F.col("_left").alias("text"), "n_lines", n_removed.alias("n_removed"))
+    hits = removed_lines(docs, bad, names)
+    hashed = docs.withColumn(names["hash"], F.xxhash64("doc_id", "text"))
+    split = common.may_hold(hashed, hits, names["hash"], names["hit"])
+    both = [names["gone"], names["n"]]
+    some = split.where(names["hit"]).withColumnRenamed(names["hash"], names["hit"] + "_").drop(names["hit"])
+    some = some.join(hits, (some[names["hit"] + "_"] == hits[names["hash"]]) & some["doc_id"].eqNullSafe(hits[names["id"]]), "left")
+    none = split.where(f"NOT {names['hit']}").withColumns({c: F.lit(None).cast(hits.schema[c].dataType) for c in both})
+    out = some.select(*docs.columns, *both).unionByName(none.select(*docs.columns, *both))
+    gone, n = F.col(names["gone"]), F.col(names["n"])
+    left = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.coalesce(F.get(gone, i), F.lit(False))), "\n")
+    n_lines = F.coalesce(F.size(F.filter(_lines(F.col("text")), lambda x: _bare(x) != "")), F.lit(0)).cast("long")
+    others = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_removed")]
+    return out.select(*others, F.when(n.isNull(), F.col("text")).otherwise(left).alias("text"), n_lines.alias("n_lines"), F.coalesce(n, F.lit(0)).cast("long").alias("n_removed"))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """doc_id, n_lines, n_removed and the MD5 of the text that is left (null for a null text)."""
+    """doc_id, n_lines, n_removed and the MD5 of the text that is left (null for a null text) of every row; see remove_boilerplate()."""
     return remove_boilerplate(docs.select("doc_id", "source", "text"), min_sites).select("doc_id", "n_lines", "n_removed", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
@@ -86,12 +89,10 @@ bad AS (
   SELECT trim(line, ' ' || chr(9) || chr(13)) AS bare FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''
   GROUP BY 1 HAVING count(DISTINCT source) >= {sites}
 ), b AS (SELECT list(bare) AS bares FROM bad),
-x AS (
+y AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS ls,
     list_filter(string_split(text, chr(10)), lambda y: NOT list_contains(coalesce(bares, []), trim(y, ' ' || chr(9) || chr(13)))) AS kept
   FROM documents, b
-), y AS (
-  SELECT doc_id, text, ls, CASE WHEN (length(text) - length(array_to_string(kept, chr(10)))) * 2 > length(text) THEN ls ELSE kept END AS kept FROM x
 )
 SELECT doc_id, CAST(coalesce(len(list_filter(ls, lambda v: trim(v, ' ' || chr(9) || chr(13)) <> '')), 0) AS BIGINT) AS n_lines,
   CAST(coalesce(len(ls) - len(kept), 0) AS BIGINT) AS n_removed, CASE WHEN text IS NOT NULL THEN md5(array_to_string(kept, chr(10))) END AS text_md5
