@@ -52,7 +52,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
-    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train_forest(secrets.sample_findings(spark)))
+    docs = table(spark, sf_dir, "documents")
+    words = secrets.dictionary(docs)
+    return secrets.scan(docs, secrets.train_forest(secrets.sample_findings(spark), words), words)
 
 
 def op7_bpe_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Secret scans with a random forest against false positives (operator 6), in DataFrame functions only.
 
-Regular expressions find candidates: values assigned to telling names, well-known key formats and long tokens with digits.
+One regular expression finds candidates: values assigned to telling names, well-known key formats and long tokens with digits.
 A random forest, trained from labelled findings on a candidate's length, character
-transitions, dictionary coverage, path-like parts and neighbouring words, then decides which are secrets. The
+transitions, dictionary coverage, path-like parts and neighbouring words, then decides which are secrets. The dictionary
+is the corpus's own: the words that most documents have, in whatever languages. The
 trained trees become SQL expressions, so a document is scanned within its own row, without a shuffle.
 """
 
@@ -13,13 +14,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
+
 TREES, DEPTH = 20, 6
+#: Words in the dictionary, the bound on what goes to the driver, and their least letters.
+WORDS, LETTERS = 4000, 4
 MARK = "[SECRET]"
 # Names and formats that secrets are known by.
 NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth"
 FORMATS = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_(?:live|test)_[0-9A-Za-z]{16,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_.-]{10,}+"
 BENIGN = r"sha\d*|md5|checksum|digest|commit|rev(?:ision)?|uuid|guid|hash|version|href|src|url|file|path|mail|page|doi|isbn|image|build|id"
-DICTIONARY = "about access account address admin api app auth backup base book build class client cloud code com commit config content count data date default demo dev doc domain download email error event example file font form group guide hash head home host html http image index info item key lang left level library license link list local login mail main master media menu message model module name node note number object option order page param pass password path photo plan port post product project public query release report request root sample script search secret section server service session setting site size source staging static status store string style system table tag target task team temp template test text theme thread time title token tool type update upload user value version video view web widget width window word work your".split()
+COMMON = "about access account address admin api app auth backup base book build class client cloud code com commit config content count data date default demo dev doc domain download email error event example file font form group guide hash head home host html http image index info item key lang left level library license link list local login mail main master media menu message model module name node note number object option order page param pass password path photo plan port post product project public query release report request root sample script search secret section server service session setting site size source staging static status store string style system table tag target task team temp template test text theme thread time title token tool type update upload user value version video view web widget width window word work your".split()
 PLACEHOLDER = r"example|changeme|change_me|placeholder|dummy|sample|redacted|your|xxx|\*\*\*|\.\.\.|<|\$\{|%s|foobar|12345|abcdef|0000|1111"
 
 KEY = "[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
@@ -34,36 +39,55 @@ ASSIGNED = rf"(?i)^(?:{NAMES})s?[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?({VALUE}{{6,}}
 FEATURES = ["size", "digits", "uppers", "lowers", "others", "transitions", "distinct", "dictionary", "slashes", "dots", "hex", "uuid", "assigned", "format", "placeholder", "secret_near", "benign_near", "at_near", "runs"]
 
 
-def candidates(text: Column) -> Column:
-    """Array of (value, before, after, start, assigned): start counts characters from 0, value is what an assignment assigns."""
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    between = F.split(text, CANDIDATE, -1)
-    sizes, gaps = F.transform(found, F.length), F.transform(between, F.length)
+#: Noncharacters to mark candidates with: the first that a text hasn't got.
+MARKS = "\uffff", "\ufffe", "\ufdd0"
+
+
+def dictionary(docs: DataFrame, most: int = WORDS) -> list[str]:
+    """The words of at least LETTERS letters that most documents have, at most that many; ties by the word. Counted over all of docs."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{{LETTERS},}}"), F.lit(0)))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return sorted({r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()} | {w for w in COMMON if len(w) >= LETTERS})
+
+
+def with_parts(docs: DataFrame, column: str) -> DataFrame:
+    """docs with a column of text's parts: what is before the first candidate, the candidate, what is between it and the next, and so on.
+
+    Columns that a later lambda reads are referred to twice there, so that they are made once for a row and not once for each of its candidates.
+    """
+    text = F.col("text")
+    mark = F.coalesce(*(F.when(~F.contains(text, F.lit(m)), F.lit(m)) for m in MARKS), F.lit(MARKS[0]))
+    clean = F.when(mark == MARKS[0], F.translate(text, MARKS[0], " ")).otherwise(text)
+    marked = F.regexp_replace(clean, F.lit(CANDIDATE), F.concat(mark, F.lit("$0"), mark))
+    return docs.withColumn(column, F.coalesce(F.split(marked, mark, -1), F.array(F.lit(""))))
 
-    def upto(lengths: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda a, x: a + x)
 
-    def one(x: Column, i: Column) -> Column:
-        value = F.regexp_extract(x, ASSIGNED, 1)
-        own = F.when(value != "", value).otherwise(x)
-        start = upto(gaps, i + 1) + upto(sizes, i) + F.length(x) - F.length(own)
-        before = F.concat(F.substring(F.get(between, i), -40, 40), F.left(x, F.length(x) - F.length(own)))
-        return F.struct(own.alias("value"), before.alias("before"), F.left(F.get(between, i + 1), F.lit(20)).alias("after"), start.cast("long").alias("start"), (value != "").alias("assigned"))
+def candidates(parts: Column) -> Column:
+    """Array of (i, value, lead, shown, before, after, assigned) for a column of parts: value is what an assignment assigns, lead what of the candidate precedes it, shown what features look at."""
+    n = F.floor(F.size(parts) / 2).cast("int")
+    found = F.transform(F.slice(F.sequence(F.lit(0), n), F.lit(1), n), lambda i: F.struct(i.alias("i"), F.get(parts, 2 * i + 1).alias("x"), F.right(F.get(parts, 2 * i), F.lit(40)).alias("gap"), F.left(F.get(parts, 2 * i + 2), F.lit(20)).alias("after")))
+    found = F.transform(found, lambda c: F.struct(c["i"].alias("i"), c["x"].alias("x"), c["gap"].alias("gap"), c["after"].alias("after"), F.regexp_extract(c["x"], ASSIGNED, 1).alias("value"), F.regexp_extract(c["x"], f"^-----BEGIN {KEY}", 0).alias("key")))
 
-    return F.when(text.rlike(CANDIDATE), F.transform(found, one)).otherwise(F.array().cast("array<struct<value:string,before:string,after:string,start:bigint,assigned:boolean>>"))
+    def one(c: Column) -> Column:
+        assigned = c["value"] != ""
+        value = F.when(assigned, c["value"]).otherwise(c["x"])
+        lead = F.left(c["x"], F.length(c["x"]) - F.length(value))
+        return F.struct(c["i"].alias("i"), value.alias("value"), lead.alias("lead"), F.when(c["key"] != "", c["key"]).otherwise(value).alias("shown"), F.lower(F.concat(c["gap"], lead)).alias("before"), c["after"].alias("after"), assigned.alias("assigned"))
 
+    return F.transform(found, one)
 
-def features(c: Column) -> Column:
-    """The FEATURES of a candidate (value, before, after, assigned), all doubles; a private key is known by its first line."""
-    first = F.regexp_extract(c["value"], f"^-----BEGIN {KEY}", 0)
-    v, before = F.when(first != "", first).otherwise(c["value"]), F.lower(c["before"])
+
+def features(c: Column, words: list[str]) -> Column:
+    """The FEATURES of a candidate (shown, before, after, assigned), all doubles; a private key is known by its first line. words: the dictionary."""
+    v, before = c["shown"], c["before"]
     n = F.greatest(F.length(v), F.lit(1))
 
     def share(pattern: str) -> Column:
         return F.regexp_count(v, F.lit(pattern)) / n
 
     kinds = reduce(lambda x, p: F.regexp_replace(x, *p), ((r"[a-z]", "a"), (r"[A-Z]", "B"), (r"[0-9]", "0"), (r"[^aB0]", "_")), v)
-    words = "|".join(w for w in sorted(DICTIONARY, key=lambda w: (-len(w), w)) if len(w) > 3)
+    runs = F.regexp_extract_all(v, F.lit(r"\p{Lu}?\p{Ll}+|\p{Lu}+|\p{L}"), F.lit(0))
+    known = F.aggregate(F.transform(runs, lambda w: F.when(F.lower(w).isin(*words), F.length(w)).otherwise(0)), F.lit(0), lambda a, x: a + x)
     own = {
         "size": n,
         "digits": share("[0-9]"),
@@ -72,7 +96,7 @@ def features(c: Column) -> Column:
         "others": share("[^A-Za-z0-9]"),
         "transitions": F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) / n,
         "distinct": F.size(F.array_distinct(F.split(v, ""))) / n,
-        "dictionary": 1 - F.length(F.regexp_replace(F.lower(v), words, "")) / n,
+        "dictionary": known / n,
         "slashes": F.regexp_count(v, F.lit("/")),
         "dots": F.regexp_count(v, F.lit(r"[.]")),
         "hex": v.rlike("^[0-9a-fA-F]+$"),
@@ -99,7 +123,7 @@ def sample_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     some = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(12)).cast("int")
 
     def word(salt: int) -> Column:
-        return F.get(F.array(*map(F.lit, DICTIONARY)), F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(DICTIONARY))).cast("int"))
+        return F.get(F.array(*map(F.lit, COMMON)), F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(COMMON))).cast("int"))
 
     empty = F.lit("")
     kinds = [  # value, before, after, assigned, label
@@ -136,12 +160,15 @@ def sample_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     return spark.range(0, n, 1, 1).select(row.alias("c")).select("c.*")
 
 
-def train_forest(findings: DataFrame, seed: int = 11) -> str:
-    """SQL for a candidate's chance to be a secret, from its features, which are c.f in a lambda over candidates c."""
+def train_forest(findings: DataFrame, words: list[str], seed: int = 11) -> str:
+    """SQL for a candidate's chance to be a secret, from its features, which are c.f in a lambda over candidates c.
+
+    findings: (value, before, after, assigned, label), of which the classifier takes all; words: the dictionary.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = findings.select(features(F.struct("value", "before", "after", "assigned")).alias("f"), F.col("label").cast("double").alias("label")).select("f.*", "label")
+    rows = shaped(findings, words).select("f.*", "label")
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("features", "label")
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, minInstancesPerNode=3, maxBins=64).fit(data)
 
@@ -155,34 +182,57 @@ def train_forest(findings: DataFrame, seed: int = 11) -> str:
     return "(" + " + ".join(sql(t._java_obj.rootNode()) for t in model.trees) + f") / {len(model.trees)}D"
 
 
-def with_findings(docs: DataFrame, forest: str, column: str) -> DataFrame:
-    """docs with a column of (start, n_chars, score), in order, for all candidates in text."""
-    listed = F.transform(candidates(F.col("text")), lambda c: F.struct(c["start"].alias("start"), F.length(c["value"]).cast("long").alias("n_chars"), features(c).alias("f")))
-    scored = f"transform(`{column}`, c -> named_struct('start', c.start, 'n_chars', c.n_chars, 'score', {forest}))"
-    return docs.withColumn(column, listed).withColumn(column, F.expr(scored))
+def shaped(findings: DataFrame, words: list[str]) -> DataFrame:
+    """f and label of labelled findings."""
+    first = F.regexp_extract("value", f"^-----BEGIN {KEY}", 0)
+    shown = findings.select(F.when(first != "", first).otherwise(F.col("value")).alias("shown"), F.lower("before").alias("before"), "after", "assigned", F.col("label").cast("double").alias("label"))
+    return shown.select(features(F.struct("shown", "before", "after", "assigned"), words).alias("f"), "label")
+
+
+def with_findings(docs: DataFrame, forest: str, words: list[str], parts: str, column: str) -> DataFrame:
+    """docs with columns parts (with_parts()) and column, an array of (i, value, lead, score) for all candidates in text, in order."""
+    listed = F.transform(candidates(F.col(parts)), lambda c: F.struct(c["i"].alias("i"), c["value"].alias("value"), c["lead"].alias("lead"), features(c, words).alias("f")))
+    scored = f"transform(`{column}`, c -> named_struct('i', c.i, 'value', c.value, 'lead', c.lead, 'score', {forest}))"
+    return with_parts(docs, parts).withColumn(column, listed).withColumn(column, F.expr(scored))
 
 
-def scan(docs: DataFrame, forest: str) -> DataFrame:
+def scan(docs: DataFrame, forest: str, words: list[str]) -> DataFrame:
     """doc_id, start, n_chars, score and secret (score >= 0.5) of every candidate in every text.
 
-    start counts characters from 0. A null or empty text has no candidates; repeated rows give repeated findings; other
-    columns are ignored. An empty table gives no row.
+    start counts characters from 0. A null or empty text has no candidates; repeated rows give repeated findings; texts and candidates of any length are
+    taken whole, in work that grows with the text and the power 1.5 of its number of candidates. Other columns are ignored. An empty table gives no row.
     """
-    found = with_findings(docs.select("doc_id", "text"), forest, "_found").select("doc_id", F.explode("_found").alias("c"))
+    found = with_findings(docs.select("doc_id", "text"), forest, words, "parts", "found")
+    # no filter here: it would be pushed below the columns and repeat them; running sums of the parts' sizes: within blocks of about the square root of their number, and over blocks
+    found = found.withColumn("sizes", F.transform("parts", F.length)).withColumn("block", F.ceil(F.sqrt(F.size("parts"))).cast("int"))
+
+    def total(x: Column, start: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(x, start + 1, n), F.lit(0).cast("long"), lambda a, y: a + y)
+
+    steps = F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / F.col("block")).cast("int"))
+    found = found.withColumn("sums", F.when(F.size("sizes") > 0, F.transform(steps, lambda k: total(F.col("sizes"), k * F.col("block"), F.col("block")))))
+    found = found.withColumn("upto", F.when(F.size("sums") > 0, F.transform(steps, lambda k: total(F.col("sums"), F.lit(0), k))))
+
+    def one(c: Column) -> Column:
+        at = 2 * c["i"] + 1
+        block = F.floor(at / F.col("block")).cast("int")
+        start = F.get(F.col("upto"), block) + total(F.col("sizes"), block * F.col("block"), at - block * F.col("block")) + F.length(c["lead"])
+        return F.struct(start.alias("start"), F.length(c["value"]).cast("long").alias("n_chars"), c["score"].alias("score"))
+
+    placed = F.when((F.size("sizes") > 0) & (F.size("upto") > 0), F.transform("found", one))
+    found = found.select("doc_id", F.explode(placed).alias("c"))
     return found.select("doc_id", "c.start", "c.n_chars", F.round("c.score", 6).alias("score"), (F.col("c.score") >= 0.5).alias("secret"))
 
 
-def redact(docs: DataFrame, forest: str, mark: str = MARK) -> DataFrame:
-    """docs with each secret in text replaced by mark; all rows and columns stay, a null text stays null."""
-    text = F.col("text")
-    column = "_found"
-    while column in docs.columns:
-        column += "_"
-    hits = F.filter(F.col(column), lambda c: c["score"] >= 0.5)
-    done = F.aggregate(
-        hits,
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda a, c: F.struct(F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (c["start"] - a["at"]).cast("int")), F.lit(mark)).alias("out"), (c["start"] + c["n_chars"]).alias("at")),
-        lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))),
-    )
-    return with_findings(docs, forest, column).withColumn("text", F.when(F.exists(column, lambda c: c["score"] >= 0.5), done).otherwise(text)).drop(column)
+def redact(docs: DataFrame, forest: str, words: list[str], mark: str = MARK) -> DataFrame:
+    """docs with each secret in text replaced by mark; all rows and columns stay, whatever their names, and a null text stays null. See scan().
+
+    In a text that holds all three noncharacters of MARKS and a secret, U+FFFF becomes a space.
+    """
+    parts, column = common.unused("_parts", docs), common.unused("_found", docs)
+    found = with_findings(docs, forest, words, parts, column)
+    own, rest = F.col(column), F.col(parts)
+    # each candidate and the gap after it
+    pieces = F.transform(own, lambda c: F.concat(F.when(c["score"] >= 0.5, F.concat(c["lead"], F.lit(mark))).otherwise(F.get(rest, 2 * c["i"] + 1)), F.get(rest, 2 * c["i"] + 2)))
+    done = F.concat(F.get(rest, F.lit(0)), F.array_join(pieces, ""))
+    return found.withColumn("text", F.when(F.exists(column, lambda c: c["score"] >= 0.5), done).otherwise(F.col("text"))).select(*docs.columns)
