@@ -38,8 +38,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by a mark; every document stays."""
-    forest = secrets.train_forest(secrets.sample_findings(spark))
-    return _with_text_of(secrets.redact(docs, forest), docs)
+    words = secrets.dictionary(docs)
+    forest = secrets.train_forest(secrets.sample_findings(spark), words)
+    return _with_text_of(secrets.redact(docs, forest, words), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
