@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-#: Pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 200_000
+#: Characters of the pre-tokens that a worker remembers before it starts anew, and of the longest one that it remembers.
+REMEMBERED, LONG = 2_000_000, 256
 
 
 def byte_characters() -> list[str]:
@@ -92,7 +92,8 @@ class PieceCodec:
         to = byte_characters()
         self.forward = {b: c for b, c in enumerate(to)}
         self.back = {ord(c): b for b, c in enumerate(to)}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.size = 0
 
     def encode_pretokens(self, pretokens: list[str]) -> list[list[int]]:
         """A pre-token that is a token stands whole; all others are merged by the model."""
@@ -111,13 +112,16 @@ class PieceCodec:
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text the number of ids, the digest of the ids and the digest of what they decode to."""
         found = [self.findall(t) for t in texts]
-        if len(self.known) > REMEMBERED:
+        if self.size > REMEMBERED:
             self.known.clear()
+            self.size = 0
         new = list({p for ps in found for p in ps if p not in self.known})
+        long = {}
         for p, ids in zip(new, self.encode_pretokens(new), strict=True):
-            self.known[p] = len(ids), ",".join(map(str, ids)), self.decode(ids)
+            (self.known if len(p) <= LONG else long)[p] = len(ids), ",".join(map(str, ids)), self.decode(ids)
+            self.size += len(p) if len(p) <= LONG else 0
         for ps in found:
-            parts = [self.known[p] for p in ps]
+            parts = [long[p] if p in long else self.known[p] for p in ps] if long else [self.known[p] for p in ps]
             ids = hashlib.sha256(",".join([x[1] for x in parts]).encode()).hexdigest()
             decoded = hashlib.sha256(b"".join([x[2] for x in parts])).hexdigest()
             yield sum([x[0] for x in parts]), ids, decoded
@@ -136,7 +140,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text.
 
     A null or empty text has 0 tokens and the digests of nothing. Every row of docs gives one
-    row, repeated ids included; other columns are ignored.
+    row, repeated ids included; other columns are ignored, and an empty table gives no row. Texts of any length are taken whole, each within one task.
     """
     common.ready(docs.sparkSession)
 

@@ -32,7 +32,11 @@ PLACED = PIECE + ", grp long, bin long, offset long, done boolean"
 
 
 class JsonBpe:
-    """The ids that a byte-level BPE .json gives; texts that hold a special token's string go to its own library."""
+    """The ids that a byte-level BPE .json gives; texts that hold a special token's string go to its own library.
+
+    The vocabulary as ranks gives the same ids if tokens are numbered in the order of their merges, one merge for each: two neighbours at any
+    time are what their bytes alone come to by the merges so far, so neighbours that make up a token are those of its own merge. Else all texts go to the library.
+    """
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
@@ -44,10 +48,14 @@ class JsonBpe:
         self.special = [x["content"] for x in model.get("added_tokens", [])]
         back = {c: b for b, c in enumerate(byte_characters())}
         ranks = {bytes(back[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in self.special}
-        self.fast = tiktoken.Encoding("json", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        vocab, merges = model["model"]["vocab"], [x.split(" ") if isinstance(x, str) else x for x in model["model"]["merges"]]
+        made = [vocab[a + b] for a, b in merges]
+        plain = all(not model["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        ranked = plain and made == sorted(set(made)) and all(len(back.keys() & {c}) and len(t) == 1 for t in vocab.keys() - {a + b for a, b in merges} - set(self.special) for c in t)
+        self.fast = tiktoken.Encoding("json", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if ranked else None
 
     def ids(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special):
             return np.array(self.own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return self.fast.encode_to_numpy(text, disallowed_special=())
 
@@ -147,7 +155,9 @@ def pack(items: DataFrame, size: int = 2048) -> DataFrame:
     spark = common.ready(items.sparkSession)
     items = common.cut(items)
     groups = max(1, -(-items.count() // GROUP_ROWS))
-    frame = items.withColumns({"grp": F.expr(f"pmod(xxhash64(doc_id, piece), {groups}L)"), "bin": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "done": F.lit(False)}).select(*(x.split()[0] for x in PLACED.split(", ")))
+    # by a row's number in the table just written, so that rows of equal or null ids are spread like others
+    number = F.monotonically_increasing_id()
+    frame = items.withColumns({"grp": F.pmod(number + F.shiftright(number, 33), F.lit(groups)).cast("long"), "bin": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "done": F.lit(False)}).select(*(x.split()[0] for x in PLACED.split(", ")))
     out, number = [], 0
     while True:
         rounded = common.cut(_round(frame.repartition(groups, "grp"), number, size, groups == 1))
@@ -164,5 +174,9 @@ def pack(items: DataFrame, size: int = 2048) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, pattern: str, size: int = 2048) -> DataFrame:
-    """Tokenises, cuts and packs all documents; every row of docs counts as a document."""
+    """Tokenises, cuts and packs all documents: PIECE with sequence_id and offset.
+
+    Every row of docs counts as a document, whatever its id, repeated rows too; a null text is empty and still has its end id. Texts of
+    any length are taken whole, each within one task. Other columns are ignored, and an empty table gives no row.
+    """
     return pack(pieces(docs, path, pattern, size), size)

@@ -3,11 +3,13 @@
 A sentencepiece BPE vocabulary with byte fallback and identity normalisation. Texts are cut into
 units that no piece can straddle; the units not yet known are held together as ragged numpy
 arrays of symbols. In each round every unit merges its own pair of lowest rank, all units
-at once, until no pair is left; the symbols that survive are the tokens.
+at once, until no pair is left; the symbols that survive are the tokens. Units of more than LONG characters, of which a
+round would touch all symbols for each merge, take their merges from a heap, in the same order.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -17,8 +19,8 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-#: Units that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Characters of the units that a worker remembers before it starts anew, and of the longest unit that it remembers or merges together with others.
+REMEMBERED, LONG = 4_000_000, 256
 NONE = np.iinfo(np.int64).max
 _SPACE = "▁"
 _UNITS = re.compile(r" +[^ \n]*|\n[^ \n]*")
@@ -52,7 +54,9 @@ class RankMerger:
         self.keys = np.array(keys, dtype=np.int64)
         self.merged = np.array([pairs[k] for k in keys], dtype=np.int64)
         self.rank = np.array([rank[pairs[k]] for k in keys], dtype=np.int64)
+        self.order = order
         self.known: dict[str, int] = {}
+        self.size = 0
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Where the pair stands in keys, or -1. Unknown characters are below 0 and never merge."""
@@ -100,14 +104,51 @@ class RankMerger:
             symbol, unit, pair = symbol[stays], unit[stays], pair[stays]
         return out
 
+    def merge_long(self, unit: str) -> int:
+        """merge() of one unit, in time that grows little faster than its length."""
+        symbol = np.array([self.ids.get(c, -len(c.encode())) for c in unit], dtype=np.int64)
+        n = len(symbol)
+        pair = self.look_up(symbol[:-1], symbol[1:])
+        rank = np.where(pair >= 0, self.rank[pair], -1)
+        heap = (rank << 32 | np.arange(n - 1))[rank >= 0].tolist()
+        heapq.heapify(heap)
+        own, now, after, before = symbol.tolist(), [*rank.tolist(), -1], list(range(1, n + 1)), list(range(-1, n - 1))
+        if not hasattr(self, "by_pair"):
+            self.by_pair = dict(zip(self.keys.tolist(), self.rank.tolist(), strict=True))
+        dead = bytearray(n)
+        while heap:
+            top = heapq.heappop(heap)
+            at = top & 0xFFFFFFFF
+            if dead[at] or now[at] != top >> 32:
+                continue
+            own[at] = self.order[top >> 32]
+            gone = after[at]
+            dead[gone] = 1
+            after[at] = right = after[gone]
+            if right < n:
+                before[right] = at
+            for left in (before[at], at):
+                right = after[left] if left >= 0 else n
+                if left < 0:
+                    continue
+                now[left] = -1
+                if right < n and own[left] >= 0 and own[right] >= 0 and (found := self.by_pair.get(own[left] << 32 | own[right])) is not None:
+                    now[left] = found
+                    heapq.heappush(heap, found << 32 | left)
+        return sum([max(-x, 1) if x < 0 else 1 for x, d in zip(own, dead, strict=True) if not d])
+
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text, without begin or end; an empty text has none."""
         found = [_UNITS.findall(" " + t.replace(_SPACE, " ")) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
+        if self.size > REMEMBERED:
             self.known.clear()
-        new = list({u for us in found for u in us if u not in self.known})
+            self.size = 0
+        new = {u for us in found for u in us if u not in self.known}
+        long = {u: self.merge_long(u.replace(" ", _SPACE)) for u in new if len(u) > LONG}
+        new = [u for u in new if u not in long]
         self.known.update(zip(new, self.merge([u.replace(" ", _SPACE) for u in new]).tolist(), strict=True))
-        return [sum(map(self.known.__getitem__, us)) for us in found]
+        self.size += sum(map(len, new))
+        return [sum([long[u] if u in long else self.known[u] for u in us]) if long else sum(map(self.known.__getitem__, us)) for us in found]
 
 
 _mergers: dict[str, RankMerger] = {}
@@ -123,7 +164,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every whole text.
 
     A null or empty text has 0 bytes and 0 tokens. Every row of docs gives one row, repeated
-    ids included; other columns are ignored.
+    ids included; other columns are ignored, and an empty table gives no row. Texts of any length are taken whole, each within
+    one task; runs without a space take little longer than their length.
     """
     common.ready(docs.sparkSession)
 
