@@ -37,6 +37,79 @@ def test_base_counts():
     assert list(zip(*(got[c].tolist() for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")))) == [base_by_hand(t) for t in ts]
 
 
+def test_base_counts_rest_on_bytes(monkeypatch):
+    text = "a"
+    for _ in range(10):
+        text += text.translate(str.maketrans("ab", "ba"))
+    other = text.translate(str.maketrans("ab", "ba"))
+    ts = [*texts(), f"{text}\n{other}", " ".join([text, other] * 8 + [text] * 3), "x " * 300_000 + "\n".join(f"word{k} {k % 1000}" for k in range(150_000))]
+    want = [base_by_hand(t) for t in ts]
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+    def got():
+        out = quality.base(pa.array(ts, pa.string()))
+        return list(zip(*(out[c].tolist() for c in names)))
+
+    assert got() == want
+    monkeypatch.setattr(quality.common.Ranges, "__call__", lambda self, start, end: np.zeros(len(start), dtype=np.uint64))
+    assert got() == want
+
+
+def verdicts_by_hand(rows):
+    """kept of (id, text, lang) rows, by plain dictionaries and lists."""
+    out, langs = {}, {}
+    for i, t, lang in rows:
+        langs.setdefault(lang, []).append((i, t or ""))
+    for own in langs.values():
+        p = model_by_hand([t for _, t in own], quality.ORDER)
+        memo, places = {}, {}
+        for i, t in own:
+            n, _, _, _, again = base_by_hand(t)
+            s = "\2" * (quality.ORDER - 1) + t.lower()
+            total = 0.0
+            for k in range(len(t)):
+                g = s[k : k + quality.ORDER]
+                if g not in memo:
+                    memo[g] = math.log(p(g))
+                total += memo[g]
+            failed = n < 20 or 100 * again > 30 * n
+            places[i] = failed, -total / max(len(t), 1), int(math.log2(max(len(t), 1))), t
+        votes = {}
+        for failed, x, octave, t in places.values():
+            if not failed:
+                votes.setdefault(octave, {})[t] = round(x * 500)
+        for i, (failed, x, octave, _) in places.items():
+            if failed:
+                out[i] = False
+                continue
+            others = sum(len(v) * 4.0 ** -abs(o - octave) for o, v in votes.items() if o != octave)
+            weighted = sorted((b, 1.0 if o == octave else 4.0 ** -abs(o - octave) * 100 / (100 + others)) for o, v in votes.items() for b in v.values())
+            whole, upto, cuts = sum(w for _, w in weighted), 0.0, []
+            for share in (0.25, 0.5, 0.75):
+                upto = 0.0
+                for b, w in weighted:
+                    upto += w
+                    if upto >= share * whole - 1e-9:
+                        cuts.append(b / 500)
+                        break
+            spread = max((cuts[2] - cuts[0]) / 1.349, 0.002)
+            out[i] = cuts[1] - 4 * spread <= x <= cuts[1] + 6 * spread
+    return out
+
+
+def test_verdicts_by_hand(spark):
+    rng = random.Random(11)
+    syllables = ["the", "on", "ing ", " er", "a ", "ti", "É", "sh"]
+    rows = [(i, "".join(rng.choice(syllables) for _ in range(rng.choice([60, 90, 200, 700]))) + " x y" * 12, rng.choice(["en", "de", None])) for i in range(150)]
+    rows += [(200 + i, " ".join("".join(rng.choice("qxzwvkj#@!0123456789") for _ in range(9)) for _ in range(30)), "en") for i in range(4)]
+    rows += [(300 + i, rows[i][1], rows[i][2]) for i in range(20)] + [(400, None, "en"), (401, "", None), (402, "the on ing " * 40, "de")]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    want = verdicts_by_hand(rows)
+    assert got == want and 0 < sum(want.values()) < len(want)
+    units = quality.grams(pa.array(["a😀"]))[0]
+    assert len(units) == 3 and units[1] & np.uint64(0xFFFF) == 0xD83D
+
+
 def model_by_hand(ts, n):
     """A plain Kneser-Ney model with dictionaries; strings of characters."""
     top = Counter()

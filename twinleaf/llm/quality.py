@@ -1,6 +1,6 @@
 """Quality rules with n-gram perplexity bands (operator 5).
 
-A modified Kneser-Ney model over characters, one for each language, is counted by Spark from all
+A modified Kneser-Ney model over characters (UTF-16 units, so that no two characters are mixed up), one for each language, is counted by Spark from all
 documents: the n-grams of the highest order are counted, and everything else in the model (lower orders'
 continuation counts, discounts, back-off weights) follows from that table by joins. All counted strings stay, in
 tables dealt out by hash; a text is scored against at most PASS_ENTRIES of them at a time, in as many passes as
@@ -41,15 +41,14 @@ _STEP = 500  # bins per unit of log-perplexity
 
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The code of the ORDER characters up to each one (16 bits each, the last lowest), and its row; texts are lower-cased and padded in front."""
-    texts = pc.utf8_lower(column.fill_null("")).to_pylist()
-    pad = chr(_PAD) * (ORDER - 1)
-    points = np.frombuffer("".join([pad + t for t in texts]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    c = ((points ^ (points >> 16)) & 0xFFFF).astype(np.uint64)
+    """The code of the ORDER UTF-16 units up to each one (16 bits each, the last lowest), and its row; texts are lower-cased and padded in front."""
+    texts = [t.encode("utf-16-le", "surrogatepass") for t in pc.utf8_lower(column.fill_null("")).to_pylist()]
+    pad = chr(_PAD).encode("utf-16-le") * (ORDER - 1)
+    c = np.frombuffer(b"".join([pad + t for t in texts]), dtype="<u2").astype(np.uint64)
     code = c.copy()
     for k in range(1, ORDER):
         code[k:] |= c[:-k] << np.uint64(16 * k)
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    sizes = np.array([len(t) // 2 for t in texts], dtype=np.int64)
     row = np.repeat(np.arange(len(texts)), sizes)
     at = np.arange(len(row)) + (row + 1) * (ORDER - 1)
     return code[at], row
@@ -170,16 +169,18 @@ def base(column: pa.Array) -> dict[str, np.ndarray]:
     filled = np.r_[0, np.cumsum(~common.SPACE[data])]
     some = filled[hi] > filled[lo]
     lo, hi = lo[some], hi[some]
-    line_row, line = np.searchsorted(bounds, lo, side="right") - 1, ranges(lo, hi)
+    line_row, line = np.searchsorted(bounds, lo, side="right") - 1, common.identify(data, lo, hi, ranges)
     order = np.lexsort((line, line_row))
     again = (line_row[order][1:] == line_row[order][:-1]) & (line[order][1:] == line[order][:-1])
     out["n_dup_lines"] = np.bincount(line_row[order][1:][again], minlength=n)
     # windows
-    word = ranges(start, end)
+    word = common.identify(data, start, end, ranges)
     first = np.flatnonzero(row[WINDOW - 1 :] == row[: len(row) - WINDOW + 1]) if len(row) >= WINDOW else np.zeros(0, dtype=np.int64)
+    width = 1
+    while width < WINDOW:  # numbers for runs of 2, 4 and 8 words
+        word = common.pair_up(word[: len(word) - width], word[width:]) if len(word) > width else word[:0]
+        width *= 2
     h = word[first]
-    for j in range(1, WINDOW):
-        h = common.mix(h * np.uint64(0x9E3779B97F4A7C15) + word[first + j])
     order = np.lexsort((h, row[first]))
     same = (row[first][order][1:] == row[first][order][:-1]) & (h[order][1:] == h[order][:-1])
     twice = np.zeros(len(first), dtype=bool)
@@ -275,7 +276,7 @@ def quality(docs: DataFrame) -> DataFrame:
     """The base counts, base_failed, log_perplexity and kept of every row of docs (doc_id, text, lang).
 
     A null text has no words and fails; every value of lang is a language of its own, null that of the empty string. Repeated rows count and are judged each for itself;
-    other columns are ignored. An empty table gives no row.
+    texts of any length are taken whole, each within one task; other columns are ignored. An empty table gives no row.
     """
     spark = common.ready(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.xxhash64(language()).alias("_l"), F.xxhash64("text").alias("_text"))
