@@ -113,7 +113,8 @@ def test_every_pair_at_the_threshold_is_a_candidate(spark, monkeypatch):
     rows = [*family(3, 60, 90, 5), *((100 + i, t) for i, t in corpus(6, 120) if t)]
     rows = [(k, t) for k, (_, t) in enumerate(rows)]
     df = spark.createDataFrame([(i, i, t) for i, t in rows], "rep long, tree long, text string")
-    got = {tuple(r) for r in minhash.candidates(minhash.rare_shingles(df, 2, 80), 80).collect()}
+    members = minhash.rare_shingles(df, 2, 80)
+    got = {tuple(r) for r in minhash.candidates(members, minhash.key_sizes(members), 80).collect()}
     sets = {i: {tuple(t.encode().lower().split()[k : k + 2]) for k in range(max(len(t.split()) - 1, 1))} for i, t in rows}
     want = {(x, y) for x in sets for y in sets if y < x and sets[x] != {()} and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])}
     assert want <= got and len(want) > 100
@@ -125,8 +126,8 @@ def test_a_family_below_the_threshold_takes_linear_rows(spark):
         rows = family(5, n, 100, 5)  # about 10 of 99 shingles changed: pairs at about 0.68
         df = spark.createDataFrame([(i, i, t) for i, t in rows], "rep long, tree long, text string")
         members = minhash.rare_shingles(df, 2, 80)
-        counts.append((members.count(), minhash._blocks(members, ["rep"]).count() if n == 400 else 0, minhash.candidates(members, 80).count()))
-    assert counts[1][0] <= 4.4 * counts[0][0] and counts[1][2] <= 1600
+        counts.append((members.count(), minhash.candidates(members, minhash.key_sizes(members), 80).count()))
+    assert counts[1][0] <= 4.4 * counts[0][0] and counts[1][1] <= 1600
 
 
 def test_structured_words_do_not_collide(spark):

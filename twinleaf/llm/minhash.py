@@ -7,12 +7,12 @@ below the next step. Places and values come from one permutation, hence the lowe
 
 Links are found in two passes. First come ROUNDS rounds of leaders: every document is compared on full sets with
 one leader, of those that the documents of a band key agree on the one that it shares most bands with, in every round
-another one, and what is linked becomes a tree. Then the documents that share a band key with another tree are joined exactly,
-by filters that lose no pair at the threshold: such a pair shares one of either set's rarest shingles (prefix
-filter), and its sizes, its places in the two prefixes and the parity bitmaps of its sets bound what it can share. Pairs that pass are compared on full sets.
+another one, and what is linked becomes a tree. Then all documents that share a band key with another tree meet, through
+filters that lose no pair at the threshold: sizes and the parity bitmaps of two sets bound what they can share. Pairs that pass are compared on full sets.
 
 A key's documents meet in blocks of a bounded number; documents of the key's largest tree don't meet one another, so a row is
-repeated only as often as there are blocks of other trees.
+repeated only as often as there are blocks of other trees. Documents of keys with more than one such block are joined on their sets' rarest
+shingles instead (prefix filter): two sets at the threshold share one, and families just below it mostly don't.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from . import common
 #: 40 bands of 4 registers: a pair at a similarity of 0.8 shares none about 7 times in 10^10.
 BANDS, ROWS = 40, 4
 ROUNDS = 3
-#: Documents in a block, and bits of a parity bitmap.
-BLOCK, PARITY = 256, 2048
+#: Documents in a block, and bits of a parity bitmap in the first and the second way of meeting.
+BLOCK, PARITY, WIDE_PARITY = 256, 512, 2048
 _GOLD = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
 
@@ -140,10 +140,10 @@ def _super_minhash(row: np.ndarray, element: np.ndarray, n: int, m: int) -> np.n
     return registers
 
 
-def parities(row: np.ndarray, element: np.ndarray, n: int) -> np.ndarray:
-    """n x PARITY / 8 bytes: a bit is set if an odd number of the row's elements fall on it, so at most as many bits differ between rows as elements do."""
-    odd = np.bincount(row * PARITY + (element >> np.uint64(17) & np.uint64(PARITY - 1)).astype(np.int64), minlength=n * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, PARITY), axis=1)
+def parities(row: np.ndarray, element: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """n x bits / 8 bytes: a bit is set if an odd number of the row's elements fall on it, so at most as many bits differ between rows as elements do."""
+    odd = np.bincount(row * bits + (element >> np.uint64(17) & np.uint64(bits - 1)).astype(np.int64), minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1)
 
 
 def band_keys(registers: np.ndarray, rows: int) -> np.ndarray:
@@ -157,7 +157,7 @@ def band_keys(registers: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, two sums that identify the set, and the band keys."""
+    """doc_id, n_shingles, two sums that identify the set, the band keys and the set's parity bitmap."""
     common.ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +172,9 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 sums[0, some], sums[1, some] = np.add.reduceat(common.mix(h), at), np.add.reduceat(common.mix(twin ^ np.uint64(_GOLD)), at)
             keys = common.signed(np.ascontiguousarray(band_keys(super_minhash(row, h, n, BANDS * ROWS), ROWS)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(common.signed(sums[0])), pa.array(common.signed(sums[1])), lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(common.signed(sums[0])), pa.array(common.signed(sums[1])), lists, pa.array([x.tobytes() for x in parities(row, h, n, PARITY)], pa.binary())], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits binary")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
@@ -213,32 +213,36 @@ def rare_shingles(texts: DataFrame, k: int, percent: int) -> DataFrame:
         for part in common.slices(batches, "text"):
             row, h, _ = shingles(*common.buffers(part.column("text")), k)
             at = common.per_row(row, part.num_rows)
-            bits = [x.tobytes() for x in parities(row, h, part.num_rows)]
+            bits = [x.tobytes() for x in parities(row, h, part.num_rows, WIDE_PARITY)]
             yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("tree"), pa.array(np.diff(at)), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(common.signed(h)))], ["rep", "tree", "n", "bits", "elements"])
 
-    sets = common.cut(texts.select("rep", "tree", "text").mapInArrow(run, "rep long, tree long, n long, bits binary, elements array<long>"))
-    each = sets.select("rep", "tree", "n", "bits", F.explode("elements").alias("key"))
-    often = common.cut(each.groupBy("key").agg(F.count("*").alias("c"), F.min("tree").alias("x"), F.max("tree").alias("y")).where("c > 1").select("key", "c", (F.col("x") != F.col("y")).alias("across")))
-    mine = each.join(often, "key").groupBy("rep", "tree", "n", "bits").agg(F.collect_list(F.struct("c", "key", "across")).alias("xs"))
+    sets = common.cut(texts.select("rep", "tree", "text").mapInArrow(run, "rep long, tree long, n long, bits binary, elements array<long>").withColumn("item", F.monotonically_increasing_id()))
+    often = common.cut(sets.select("tree", F.explode("elements").alias("key")).groupBy("key").agg(F.count("*").alias("c"), F.min("tree").alias("x"), F.max("tree").alias("y")).where("c > 1").select("key", "c", (F.col("x") != F.col("y")).alias("across")))
+    mine = sets.select("item", "n", F.explode("elements").alias("key")).join(often, "key").groupBy("item", "n").agg(F.collect_list(F.struct("c", "key", "across")).alias("xs"))
     # a set's shingles that no other has come first and are only counted
     alone = F.col("n") - F.size("xs")
     last = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
-    prefix = mine.select("rep", "tree", "n", "bits", alone.alias("alone"), F.posexplode(F.slice(F.array_sort("xs"), F.lit(1), F.greatest(last - alone, F.lit(0)).cast("int"))).alias("i", "x"))
-    found = common.cut(prefix.where("x.across").select("x.key", "rep", "tree", "n", (F.col("alone") + F.col("i") + 1).alias("pos"), "bits"))
-    common.drop(sets, often)
+    prefix = mine.select("item", alone.alias("alone"), F.posexplode(F.slice(F.array_sort("xs"), F.lit(1), F.greatest(last - alone, F.lit(0)).cast("int"))).alias("i", "x"))
+    places = common.cut(prefix.where("x.across").select("item", "x.key", (F.col("alone") + F.col("i") + 1).alias("pos")))
+    found = common.cut(places.join(sets.select("item", "rep", "tree", "n", "bits"), "item").drop("item"))
+    common.drop(sets, often, places)
     return found
 
 
-def _blocks(members: DataFrame, keep: list[str]) -> DataFrame:
-    """members (key, rep, tree, ...) in blocks: a row for each pair of blocks of its key that it is part of, sorted by key, lo, hi.
+def key_sizes(members: DataFrame) -> DataFrame:
+    """key, first (its largest tree) and the numbers of blocks of first (of_first) and of all others (of_rest), for keys of several trees; written and read again."""
+    trees = members.groupBy("key", "tree").agg(F.count("*").alias("c"))
+    sizes = trees.groupBy("key").agg(F.max(F.struct("c", "tree")).alias("most"), F.sum("c").alias("all"))
+    most = F.ceil(F.col("most.c") / BLOCK).cast("int")
+    return common.cut(sizes.select("key", F.col("most.tree").alias("first"), most.alias("of_first"), F.ceil((F.col("all") - F.col("most.c")) / BLOCK).cast("int").alias("of_rest")).where("of_rest > 0"))
+
+
+def _blocks(members: DataFrame, sizes: DataFrame, keep: list[str]) -> DataFrame:
+    """members (key, rep, tree, ...) of the keys of key_sizes() in blocks: a row for each pair of blocks of its key that it is part of, sorted by key, lo, hi.
 
     A key's members are dealt into blocks of about BLOCK rows, and each two blocks meet in one place, but for two blocks
     of the key's largest tree. No task holds more than two blocks of a key however many members it has.
     """
-    trees = members.groupBy("key", "tree").agg(F.count("*").alias("c"))
-    sizes = trees.groupBy("key").agg(F.max(F.struct("c", "tree")).alias("most"), F.sum("c").alias("all"))
-    most = F.ceil(F.col("most.c") / BLOCK).cast("int")
-    sizes = sizes.select("key", F.col("most.tree").alias("first"), most.alias("of_first"), F.ceil((F.col("all") - F.col("most.c")) / BLOCK).cast("int").alias("of_rest")).where("of_rest > 0")
     dealt = members.join(sizes, "key").withColumn("is_first", F.col("tree") == F.col("first"))
     deal = F.xxhash64("rep")
     dealt = dealt.withColumn("own", F.when(F.col("is_first"), F.col("of_rest") + F.pmod(deal, F.col("of_first"))).otherwise(F.pmod(deal, F.col("of_rest"))).cast("int"))
@@ -268,8 +272,11 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.T
     common.give_back()
 
 
-def candidates(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a > b, of members (rare_shingles()) of the same key and different trees that sizes, places and bitmaps allow; some come repeatedly."""
+def candidates(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a > b, of members (key, rep, tree, n, pos, bits) of the same key and different trees that sizes, places and bitmaps allow; some come repeatedly.
+
+    pos: up to which place, from 1, of its n ordered shingles a set shares none with the others of its key; 1 where that isn't known.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _whole_groups(batches, 8192):
@@ -298,7 +305,7 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return _blocks(members, ["rep", "tree", "n", "pos", "bits"]).mapInArrow(run, "a long, b long").where("a <> b")
+    return _blocks(members, sizes, ["rep", "tree", "n", "pos", "bits"]).mapInArrow(run, "a long, b long").where("a <> b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -352,17 +359,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         common.drop(pairs)
         if not left:
             break
-    # what is left across trees
-    placed = shared.join(trees, "rep")
-    mixed = placed.groupBy("key").agg(F.min("tree").alias("x"), F.max("tree").alias("y")).where("x <> y").select("key")
-    spread = common.cut(placed.join(mixed, "key", "left_semi").select("rep", "tree").distinct())
+    # what is left across trees: keys with one block of documents beside their largest tree's, then the others
+    placed = common.cut(shared.join(trees, "rep"))
+    sizes = key_sizes(placed)
+    traits = rows.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.lit(1).cast("long").alias("pos"), "bits")
+    members = placed.join(sizes.where("of_rest = 1").select("key"), "key", "left_semi").join(traits.distinct() if repeated else traits, "rep")
+    pairs = common.cut(candidates(members, sizes.where("of_rest = 1"), percent).distinct())
+    if not pairs.isEmpty():
+        trees = _joined(trees, verified(pairs, docs, k, percent, repeated))
+    common.drop(pairs)
+    spread = common.cut(placed.select("key", "rep").join(sizes.where("of_rest > 1").select("key"), "key", "left_semi").select("rep").distinct().join(trees, "rep"))
+    common.drop(placed, sizes)
     if not spread.isEmpty():
         texts = texts_of(docs, spread.withColumnRenamed("rep", "id"), repeated).withColumnRenamed("id", "rep")
         members = rare_shingles(spread.join(texts, "rep"), k, percent)
-        pairs = common.cut(candidates(members, percent).distinct())
+        sizes = key_sizes(members)
+        pairs = common.cut(candidates(members, sizes, percent).distinct())
         if not pairs.isEmpty():
             trees = _joined(trees, verified(pairs, docs, k, percent, repeated))
-        common.drop(members, pairs)
+        common.drop(members, sizes, pairs)
     common.drop(shared, spread)
     # written first: a join of two shuffled sides, of which Spark can split a hot set's
     final = common.cut(classes.join(trees, "rep", "left").select(*key, F.coalesce("tree", "rep").alias("component")))
