@@ -69,3 +69,18 @@ def test_plans_join_on_the_file_and_never_cross(spark):
     inst = detect.instances(frame(spark, [("a", 1, 1, 5, "x")] * 3))
     plan = detect.subsumption(inst)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_subtrees_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    source = frame(spark, [("a", 1, 1, 5, "x")] * 30).mapInPandas(count, SUBTREES)
+    changed = spark.createDataFrame([("a", 1)], CHANGED_LINES)
+    out = detect.summarized(detect.detect(source, 3, changed))
+    assert out.count() == 1 and made.value == 30
+    assert "MapInPandas" not in out._jdf.queryExecution().toString()

@@ -99,8 +99,7 @@ CACHED = f"{SUBTREES}, content_md5 string, cache_key string".replace("file strin
 
 def find(spark: SparkSession, files: list[str], least: int, flags: settings.AnonymizationSettings, parse, frontend: str, cache_dir: str | None = None, added: dict[str, set[int]] | None = None) -> list[Group]:
     """The clone groups of files in report order. Files whose content is cached aren't parsed."""
-    order = spark.createDataFrame([(f, k) for k, f in enumerate(files)], "file string, file_ord long")
-    texts = spark.createDataFrame([(f, Path(f).read_text(encoding="utf-8", errors="replace")) for f in files], "file string, text string").join(order, "file")
+    texts = scan.read_listed(spark, files)
     if cache_dir is None:
         nodes = trees.extract(texts, parse, flags)
     else:

@@ -49,9 +49,5 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.least(F.length(a), F.length(b))), F.lit(0), lambda n, i: F.when(F.left(a, i) == F.left(b, i), i).otherwise(n))
 
 
-def range_contained(lo: Column, hi: Column, by_lo: Column, by_hi: Column) -> Column:
-    return (by_lo <= lo) & (by_hi >= hi)
-
-
 def expand_tabs(line: Column) -> Column:
     return F.replace(line, F.lit("\t"), F.lit("    "))

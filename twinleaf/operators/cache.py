@@ -27,13 +27,18 @@ def split(files: DataFrame, cached: DataFrame, settings: AnonymizationSettings,
 
 
 def read(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """The cached rows; none where there is no table or it can't be read as one."""
+    """The cached rows; none where there is no table.
+
+    Files that can't be read count as missing, so their contents are parsed anew, and a node that was
+    written twice, by a run that was tried again or by two at a time, is there once.
+    """
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema(schema).parquet(folder)
+        rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(folder)
     except AnalysisException:
         return spark.createDataFrame([], schema)
+    return rows.dropDuplicates(["content_md5", "cache_key", "post_ord"])
 
 
 def write(rows: DataFrame, folder: str) -> None:

@@ -2,7 +2,8 @@
 
 Shuffles: one on hash to count, one to bring the repeated subtrees together with their group, one
 on file for the range anti-join. Counting combines within map tasks, and only hashes that
-repeat go on, so the later steps are of the size of what is duplicated.
+repeat go on, so the later steps are of the size of what is duplicated. detect() extracts once: subtrees, groups
+and instances are written before they are used again.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import written
+
 ORDINAL = ("file_ord", "post_ord")
 
 
@@ -107,7 +110,7 @@ def ranked(groups: DataFrame) -> DataFrame:
     """
     spark = groups.sparkSession
     placed = groups.orderBy(*ordering()).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    placed = placed.persist()
+    placed = written(placed)
     sizes = {r[0]: r[1] for r in placed.groupBy("_part").count().collect()}  # a row for each partition
     before, total = [], 0
     for part in sorted(sizes):
@@ -119,8 +122,13 @@ def ranked(groups: DataFrame) -> DataFrame:
 
 def detect(subtrees: DataFrame, min_node_count: int = 50, changed_lines: DataFrame | None = None) -> DataFrame:
     """Instances of the clone groups that stay: threshold, groups, patch filter, subsumption, in this order."""
-    big = subtrees.where(F.col("node_count") >= min_node_count)
-    inst = instances(big)
+    inst = repeated(subtrees.where(F.col("node_count") >= min_node_count))
     if changed_lines is not None:
-        inst = patch_filter(inst, changed_lines)
+        inst = written(patch_filter(inst, changed_lines))
     return subsumption(inst)
+
+
+def repeated(subtrees: DataFrame) -> DataFrame:
+    """instances(), written; the subtrees are made once. The groups are written too: a join of tables, of which Spark can split a hot hash's side."""
+    kept = written(subtrees)
+    return written(instances(kept, written(hash_groups(kept))))

@@ -38,7 +38,7 @@ def _nodes(spark: SparkSession, sf_dir: str, least: int = THRESHOLD) -> DataFram
 
 
 def _instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.instances(_nodes(spark, sf_dir))
+    return detect.repeated(_nodes(spark, sf_dir))
 
 
 def _hex(df: DataFrame) -> DataFrame:
@@ -155,17 +155,11 @@ def scan_dedup(spark, sf_dir):
     from ..sources.scan import union_paths
 
     pages = _table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("page_id").alias("ord"))
-    return union_paths([pages.where("ord % 2 = 0"), pages.where("ord % 3 = 0"), pages.where("ord % 5 = 0")], "ord").select("path", F.col("ord").alias("first_page"))
-
-
-def _doc_level(spark, sf_dir):
-    """Instances of whole documents only."""
-    nodes = _nodes(spark, sf_dir).where("start_line = 1 AND post_ord = end_line + 1")
-    return detect.instances(nodes)
+    return union_paths([pages.where(F.startswith("path", F.lit(p))) for p in ("https://", "http://", "https://spam-farm", "http://blog")] + [pages], "ord").select("path", F.col("ord").alias("first_page"))
 
 
 def _report_lines(spark, sf_dir):
-    rows = report.instance_lines(_doc_level(spark, sf_dir), _files(spark, sf_dir))
+    rows = report.instance_lines(_instances(spark, sf_dir), _files(spark, sf_dir))
     return report.dedented(rows, "hash", "inst")
 
 

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from ..functions.text import PASSES
-from .catalogue import _EXCLUDED, CHAT_THRESHOLD, FLAGS, THRESHOLD
-
+THRESHOLD, CHAT_THRESHOLD = 10, 4
+_EXCLUDED = ("https://spam-farm.example.org", "http://blog.ththan.example.net/en", "https://ththin.example.com/en/671")
+# What each flag takes away, in this order, and the private-use character put there.
+PASSES = (
+    ("identifiers", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|https?://[^ ]+", chr(0xe001)),
+    ("literals", r"[0-9]+", chr(0xe002)),
+    ("names", r"\p{Lu}\p{L}*", chr(0xe003)),
+    ("variables", r"\p{Ll}\p{L}*", chr(0xe004)),
+)
+#: The flags of each query anon_*.
+FLAGS = {**{flag: {flag} for flag, _, _ in PASSES}, "all": {flag for flag, _, _ in PASSES}}
 _WHITE = "' ' || chr(9) || chr(10) || chr(13) || chr(11)"
 _DIGITS = next(p for p in PASSES if p[0] == "literals")
 
@@ -13,7 +21,7 @@ def _norm(text: str, flags: str | None) -> str:
     if flags is None:
         return f"lower(regexp_replace({text}, '{_DIGITS[1]}', '{_DIGITS[2]}', 'g'))"
     for flag, pattern, mark in PASSES:
-        if getattr(FLAGS[flags], flag):
+        if flag in FLAGS[flags]:
             text = f"regexp_replace({text}, '{pattern}', '{mark}', 'g')"
     return text
 
@@ -53,7 +61,7 @@ def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(parts[:-1]) + "\n" + parts[-1]
 
 
-# whole documents' instances, their lines with tabs expanded, and the lines dedented
+# all instances, their lines with tabs expanded, and the lines dedented
 _LEAD = f"CASE WHEN trim(t, {_WHITE}) <> '' THEN regexp_extract(t, '^[ \\t]*') END"
 
 
@@ -65,10 +73,10 @@ dedented AS (SELECT s.* EXCLUDE (t), CASE WHEN starts_with(t, pre) THEN substr(t
 
 _REPORT = [
     _nodes(),
-    "docs AS (SELECT * FROM nodes WHERE start_line = 1 AND post_ord = end_line + 1)",
+    "docs AS (SELECT * FROM nodes)",
     "several AS (SELECT hash FROM docs GROUP BY hash HAVING count(*) >= 2)",
     "numbered AS (SELECT d.*, row_number() OVER (PARTITION BY hash ORDER BY file_ord, post_ord) - 1 AS inst FROM docs d WHERE hash IN (FROM several))",
-    "raw AS (SELECT n.hash, n.inst, n.file, l.ln AS line, replace(l.t, chr(9), '    ') AS t FROM numbered n JOIN nodes_l l USING (file))",
+    "raw AS (SELECT n.hash, n.inst, n.file, l.ln AS line, replace(l.t, chr(9), '    ') AS t FROM numbered n JOIN nodes_l l ON l.file = n.file AND l.ln BETWEEN n.start_line AND n.end_line)",
     _dedent("raw", "hash, inst"),
 ]
 _COUNTED = [
@@ -104,7 +112,7 @@ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscrip
         "clone_groups_patch": _with(_nodes(), _INST, _CHANGED, _TOUCHED, "patched AS (SELECT * FROM inst WHERE hash IN (SELECT hash FROM touched WHERE changed))", _COVERED.format(inst="patched"), _KEPT.format(inst="patched"), _summary("kept")),
         "clone_groups_ranked": _with(_nodes(), _INST, _COVERED.format(inst="inst"), _KEPT.format(inst="inst"), f"g AS ({_summary('kept', ', min(file_ord * 10000000 + post_ord) AS first')})", "SELECT row_number() OVER (ORDER BY node_count DESC, instance_count DESC, first) AS clone_no, hash, node_count, instance_count FROM g"),
         "exclude_filter": "SELECT page_id, url FROM pages WHERE " + " AND ".join(f"NOT (url = '{e}' OR starts_with(url, '{e}/'))" for e in _EXCLUDED),
-        "scan_dedup": "SELECT url AS path, min(page_id) AS first_page FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0 OR page_id % 5 = 0 GROUP BY url",
+        "scan_dedup": "SELECT url AS path, min(page_id) AS first_page FROM pages GROUP BY url",
         "exact_match": _with(*_REPORT, "bodies AS (SELECT hash, inst, string_agg(t, chr(10) ORDER BY line) AS body FROM dedented GROUP BY 1, 2)", "SELECT hash, count(DISTINCT body) = 1 AS exact FROM bodies GROUP BY hash"),
         "dedent_lines": _with(
             "raw AS (SELECT CAST(doc_id AS VARCHAR) AS file, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE text <> '')",

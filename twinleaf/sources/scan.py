@@ -50,3 +50,25 @@ def read_files(spark: SparkSession, paths: list[str], excludes: list[str] = (),
     kept = named.where(not_excluded(F.col("file"), [os.path.realpath(e) for e in excludes])).dropDuplicates(["file"])
     # rising with the sorted path; gaps don't matter to an order
     return kept.orderBy("file").select("file", F.monotonically_increasing_id().alias("file_ord"), "text")
+
+
+def read_listed(spark: SparkSession, files: list[str]) -> DataFrame:
+    """file, file_ord (the place in files) and text of the listed files, read by the executors. Bytes that aren't UTF-8 become U+FFFD."""
+    for f in files:
+        if not os.access(f, os.R_OK):
+            raise UserError(f"File can't be read: {f}")
+
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for f in batch["file"]:
+                try:
+                    with open(f, "rb") as source:
+                        texts.append(source.read().decode("utf-8", "replace"))
+                except OSError as e:
+                    raise UserError(f"File can't be read: {f}") from e
+            yield batch.assign(text=texts)
+
+    parts = max(1, min(len(files) // 50, 10_000))
+    names = spark.createDataFrame([(f, k) for k, f in enumerate(files)], "file string, file_ord long").repartition(parts)
+    return names.mapInPandas(run, "file string, file_ord long, text string")
