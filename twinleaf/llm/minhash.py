@@ -5,13 +5,12 @@ value j + u at the permutation's j-th place, u uniform; a register keeps its lea
 of a batch take step j together, and a document stops as soon as its largest register is
 below the next step. Places and values come from one permutation, hence the lower variance.
 
-Links are found in two passes. First come ROUNDS rounds of leaders: every document is compared on full sets with
-one leader, of those that the documents of a band key agree on the one that it shares most bands with, in every round
-another one, and what is linked becomes a tree. Then all documents that share a band key with another tree meet, through
+Links are found in two passes. First come ROUNDS rounds of leaders (one; a second and a third found hardly a link more for as much work): every document is compared on full sets with
+one leader, of those that the documents of a band key agree on the one that it shares most bands with, and what is linked becomes a tree. Then all documents that share a band key with another tree meet, through
 filters that lose no pair at the threshold: sizes and the parity bitmaps of two sets bound what they can share. Pairs that pass are compared on full sets.
 
 A key's documents meet in blocks of a bounded number; documents of the key's largest tree don't meet one another, so a row is
-repeated only as often as there are blocks of other trees. Documents of keys with more than one such block are joined on their sets' rarest
+repeated only as often as there are blocks of other trees. Documents of keys with more than DIRECT such blocks are joined on their sets' rarest
 shingles instead (prefix filter): two sets at the threshold share one, and families just below it mostly don't.
 """
 
@@ -28,9 +27,9 @@ from . import common
 
 #: 40 bands of 4 registers: a pair at a similarity of 0.8 shares none about 7 times in 10^10.
 BANDS, ROWS = 40, 4
-ROUNDS = 3
-#: Documents in a block, and bits of a parity bitmap in the first and the second way of meeting.
-BLOCK, PARITY, WIDE_PARITY = 256, 512, 2048
+ROUNDS = 1
+#: Documents in a block, the blocks beside a key's largest tree up to which its documents meet by the key, and bits of a parity bitmap in the first and the second way of meeting.
+BLOCK, DIRECT, PARITY, WIDE_PARITY = 512, 4, 512, 2048
 _GOLD = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
 
@@ -359,16 +358,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         common.drop(pairs)
         if not left:
             break
-    # what is left across trees: keys with one block of documents beside their largest tree's, then the others
+    # what is left across trees: keys with few blocks of documents beside their largest tree's, then the others
     placed = common.cut(shared.join(trees, "rep"))
     sizes = key_sizes(placed)
     traits = rows.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.lit(1).cast("long").alias("pos"), "bits")
-    members = placed.join(sizes.where("of_rest = 1").select("key"), "key", "left_semi").join(traits.distinct() if repeated else traits, "rep")
-    pairs = common.cut(candidates(members, sizes.where("of_rest = 1"), percent).distinct())
+    members = placed.join(sizes.where(f"of_rest <= {DIRECT}").select("key"), "key", "left_semi").join(traits.distinct() if repeated else traits, "rep")
+    pairs = common.cut(candidates(members, sizes.where(f"of_rest <= {DIRECT}"), percent).distinct())
     if not pairs.isEmpty():
         trees = _joined(trees, verified(pairs, docs, k, percent, repeated))
     common.drop(pairs)
-    spread = common.cut(placed.select("key", "rep").join(sizes.where("of_rest > 1").select("key"), "key", "left_semi").select("rep").distinct().join(trees, "rep"))
+    spread = common.cut(placed.select("key", "rep").join(sizes.where(f"of_rest > {DIRECT}").select("key"), "key", "left_semi").select("rep").distinct().join(trees, "rep"))
     common.drop(placed, sizes)
     if not spread.isEmpty():
         texts = texts_of(docs, spread.withColumnRenamed("rep", "id"), repeated).withColumnRenamed("id", "rep")
