@@ -108,6 +108,38 @@ def test_blocks_lose_no_link(spark, monkeypatch):
         assert sorted(map(tuple, minhash.near_duplicates(df, 2).collect())) == brute(rows, 2, 80)
 
 
+def test_forests_of_dense_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "ROUNDS", 0)
+    rows = [*family(9, 300, 300, 14, range(0, 300, 50)), *((i + 300, t) for i, t in family(11, 200, 300, 17))]  # pairs at about 0.83 and 0.79
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 2, 80)
+    for few, held in ((0, 1 << 19), (2, 50)):
+        monkeypatch.setattr(minhash, "FEW", few)
+        monkeypatch.setattr(minhash, "HELD", held)
+        assert sorted(map(tuple, minhash.near_duplicates(df, 2).collect())) == want
+
+
+def test_forest_spans_what_its_edges_join_at_least_weight():
+    rng = random.Random(8)
+    for _ in range(60):
+        n = rng.randrange(2, 40)
+        edges = [(rng.randrange(n), rng.randrange(n), rng.choice([0.0, 0.5, rng.random()])) for _ in range(rng.randrange(0, 90))]
+        p, q, w = (np.array([e[c] for e in edges], dtype=t) for c, t in ((0, np.int64), (1, np.int64), (2, np.float64)))
+        root, total, joins = list(range(n)), 0.0, 0
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for x, y, far in sorted(edges, key=lambda e: e[2]):
+            if find(x) != find(y):
+                root[find(x)] = find(y)
+                total, joins = total + far, joins + 1
+        got = minhash.forest(p, q, w, n)
+        assert len(got) == joins and abs(w[got].sum() - total) < 1e-9
+
+
 def test_every_pair_at_the_threshold_is_a_candidate(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 30)
     rows = [*family(3, 60, 90, 5), *((100 + i, t) for i, t in corpus(6, 120) if t)]

@@ -12,6 +12,9 @@ filters that lose no pair at the threshold: sizes and the parity bitmaps of two
 A key's documents meet in blocks of a bounded number; documents of the key's largest tree don't meet one another, so a row is
 repeated only as often as there are blocks of other trees. Documents of keys with more than DIRECT such blocks are joined on their sets' rarest
 shingles instead (prefix filter): two sets at the threshold share one, and families just below it mostly don't.
+
+Where many pairs of two blocks pass, only a spanning forest of their trees is compared at first, likeliest pairs before others. If all of
+its links hold, every other pair's trees are joined already; keys with a link that failed, and whose ends nothing else joined, give all their pairs in a second pass.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ BANDS, ROWS = 40, 4
 ROUNDS = 1
 #: Documents in a block, the blocks beside a key's largest tree up to which its documents meet by the key, and bits of a parity bitmap in the first and the second way of meeting.
 BLOCK, DIRECT, PARITY, WIDE_PARITY = 512, 4, 512, 2048
+#: Pairs for each row of two blocks up to which all are compared at once, and pairs held before they are thinned to a forest.
+FEW, HELD = 2, 1 << 19
 _GOLD = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
 
@@ -271,10 +276,39 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.T
     common.give_back()
 
 
-def candidates(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def forest(p: np.ndarray, q: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """The places of the edges (p, q) between n nodes that make up a spanning forest of least weight (Boruvka)."""
+    order = np.argsort(weight, kind="stable")
+    p, q = p[order], q[order]
+    label, chosen, open_ = np.arange(n), np.zeros(len(p), dtype=bool), np.arange(len(p))
+    while len(open_):
+        x, y = label[p[open_]], label[q[open_]]
+        apart = x != y
+        open_, x, y = open_[apart], x[apart], y[apart]
+        if not len(open_):
+            break
+        best = np.full(n, len(p))
+        np.minimum.at(best, x, open_)
+        np.minimum.at(best, y, open_)
+        tops = np.flatnonzero(best < len(p))
+        chosen[best[tops]] = True
+        x, y = label[p[best[tops]]], label[q[best[tops]]]
+        up = np.arange(n)
+        up[tops] = np.where(x == tops, y, x)
+        twice = up[up]
+        both = (twice == np.arange(n)) & (np.arange(n) < up)  # two that chose the same edge: the lesser is the root
+        up[both] = np.flatnonzero(both)
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+    return order[chosen]
+
+
+def candidates(members: DataFrame, sizes: DataFrame, percent: int, thin: bool = False) -> DataFrame:
     """Pairs (a, b), a > b, of members (key, rep, tree, n, pos, bits) of the same key and different trees that sizes, places and bitmaps allow; some come repeatedly.
 
     pos: up to which place, from 1, of its n ordered shingles a set shares none with the others of its key; 1 where that isn't known.
+    thin: two blocks with more than FEW pairs for each of their rows give only a spanning forest of their trees. Pairs then have their key too, null for those of blocks that give all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +318,22 @@ def candidates(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
             new = np.ones(len(key), dtype=bool)
             new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
             group = np.cumsum(new) - 1
-            found = [np.zeros((0, 2), dtype=np.int64)]
+            rows = np.bincount(group)
+            node = np.unique(np.stack([group, tree]), axis=1, return_inverse=True)[1].reshape(-1)
+            # pairs by their places, and how far apart the bitmaps are for their sets' sizes
+            kept, more, held = (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0),), [], 0
+            many = np.zeros(len(rows), dtype=bool)
+
+            def put_together() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                p, q, far = (np.concatenate(x) for x in zip(kept, *more))
+                if thin:
+                    many[:] |= np.bincount(group[p], minlength=len(rows)) > FEW * rows
+                    dense = many[group[p]]
+                    at = np.flatnonzero(dense)
+                    at = np.concatenate([np.flatnonzero(~dense), at[forest(node[p[at]], node[q[at]], far[at], len(key))]])
+                    p, q, far = p[at], q[at], far[at]
+                return p, q, far
+
             i = np.arange(len(key))
             for d in range(1, len(key)):
                 i = i[i + d < len(key)]
@@ -299,12 +348,17 @@ def candidates(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
                 apart = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
                 near = apart * (100 + percent) <= (100 - percent) * both
                 if near.any():
-                    p, q = rep[p[near]], rep[q[near]]
-                    found.append(np.stack([np.maximum(p, q), np.minimum(p, q)], axis=1))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                    more.append((p[near], q[near], apart[near] / both[near]))
+                    held += len(more[-1][0])
+                if thin and held > HELD:
+                    kept, more, held = put_together(), [], 0
+            p, q, _ = put_together()
+            of = np.where(many[group[p]], key[p], 0) if thin else np.zeros(len(p), dtype=np.int64)
+            pairs = np.unique(np.stack([np.maximum(rep[p], rep[q]), np.minimum(rep[p], rep[q]), of, many[group[p]]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2], mask=pairs[:, 3] == 0)], ["a", "b", "key"])
 
-    return _blocks(members, sizes, ["rep", "tree", "n", "pos", "bits"]).mapInArrow(run, "a long, b long").where("a <> b")
+    pairs = _blocks(members, sizes, ["rep", "tree", "n", "pos", "bits"]).mapInArrow(run, "a long, b long, key long").where("a <> b")
+    return pairs if thin else pairs.select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -363,20 +417,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sizes = key_sizes(placed)
     traits = rows.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.lit(1).cast("long").alias("pos"), "bits")
     members = placed.join(sizes.where(f"of_rest <= {DIRECT}").select("key"), "key", "left_semi").join(traits.distinct() if repeated else traits, "rep")
-    pairs = common.cut(candidates(members, sizes.where(f"of_rest <= {DIRECT}"), percent).distinct())
-    if not pairs.isEmpty():
-        trees = _joined(trees, verified(pairs, docs, k, percent, repeated))
-    common.drop(pairs)
+    trees = _met(trees, members, sizes.where(f"of_rest <= {DIRECT}"), docs, k, percent, repeated)
     spread = common.cut(placed.select("key", "rep").join(sizes.where(f"of_rest > {DIRECT}").select("key"), "key", "left_semi").select("rep").distinct().join(trees, "rep"))
     common.drop(placed, sizes)
     if not spread.isEmpty():
         texts = texts_of(docs, spread.withColumnRenamed("rep", "id"), repeated).withColumnRenamed("id", "rep")
         members = rare_shingles(spread.join(texts, "rep"), k, percent)
         sizes = key_sizes(members)
-        pairs = common.cut(candidates(members, sizes, percent).distinct())
-        if not pairs.isEmpty():
-            trees = _joined(trees, verified(pairs, docs, k, percent, repeated))
-        common.drop(members, sizes, pairs)
+        trees = _met(trees, members, sizes, docs, k, percent, repeated)
+        common.drop(members, sizes)
     common.drop(shared, spread)
     # written first: a join of two shuffled sides, of which Spark can split a hot set's
     final = common.cut(classes.join(trees, "rep", "left").select(*key, F.coalesce("tree", "rep").alias("component")))
@@ -386,6 +435,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
+def _met(trees: DataFrame, members: DataFrame, sizes: DataFrame, docs: DataFrame, k: int, percent: int, repeated: bool) -> DataFrame:
+    """trees after all links between members of a key: forests of blocks with many pairs first, then all pairs of the keys whose forest has a link that failed; the given trees are deleted."""
+    pairs = common.cut(candidates(members, sizes, percent, thin=True).distinct())
+    if not pairs.isEmpty():
+        trees = _joined(trees, verified(pairs.select("a", "b").distinct(), docs, k, percent, repeated))
+        failed = pairs.where("key IS NOT NULL").join(trees.toDF("a", "tree_a"), "a").join(trees.toDF("b", "tree_b"), "b").where("tree_a <> tree_b")
+        again = common.cut(failed.select("key").distinct())
+        if not again.isEmpty():
+            left = common.cut(members.drop("tree").join(again, "key", "left_semi").join(trees, "rep"))
+            fewer = key_sizes(left)
+            rest = common.cut(candidates(left, fewer, percent).distinct())
+            if not rest.isEmpty():
+                trees = _joined(trees, verified(rest, docs, k, percent, repeated))
+            common.drop(left, fewer, rest)
+        common.drop(again)
+    common.drop(pairs)
+    return trees
+
+
 def _joined(trees: DataFrame, links: DataFrame) -> DataFrame:
     """trees (rep, tree) after links (a, b) between reps; trees itself is deleted."""
     found = common.cut(links)
