@@ -30,6 +30,8 @@ from . import common
 SEED = 32
 #: Runs per pass: whole runs of one anchor, then this many suffixes, then single ones.
 WIDTHS = (12, 1)
+#: Bytes of text worked on at a time, for the memory that hashes and their temporaries take.
+SLICE = common.SLICE // 4
 #: core, full and twin (full's second lane) are keys; rel is the first suffix's place relative to the anchor, negative or 0.
 RUNS = "core long, full long, twin long, doc long, start long, n int, rel int"
 KIND = ["core", "full", "twin"]
@@ -111,7 +113,7 @@ def first_runs(docs: DataFrame, depth: int) -> DataFrame:
     common.ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, "text"):
+        for part in common.slices(batches, "text", SLICE):
             data, bounds = common.buffers(part.column("text"))
             start, n, place, core = anchors(data, bounds, depth)
             row = np.searchsorted(bounds, start, side="right") - 1
@@ -134,7 +136,7 @@ def split_runs(docs: DataFrame, depth: int, width: int) -> DataFrame:
     """RUNS of at most width suffixes from the runs in docs' column runs; blocks start at multiples of width from the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, "text"):
+        for part in common.slices(batches, "text", SLICE):
             data, bounds = common.buffers(part.column("text"))
             ranges, other = common.Ranges(data), common.Ranges(data, 1)
             lists = part.column("runs")
@@ -210,7 +212,7 @@ def dedup_substrings(docs: DataFrame, depth: int = 200, with_text: bool = False)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, "text"):
+        for part in common.slices(batches, "text", SLICE):
             data, bounds = common.buffers(part.column("text"))
             rows = []
             for k, (doc, spans) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("spans"), strict=True)):
