@@ -17,24 +17,28 @@ EMITTED = "hash binary, instance_no long, file string, start_line int, end_line
 def arriving_clones(subtrees: DataFrame, min_node_count: int = 50) -> DataFrame:
     """EMITTED rows of a streaming SUBTREES table: one for each instance after the first of its digest.
 
-    Instances of one micro-batch are numbered by file and place. State of digests seen once is the size of the
+    Instances are numbered as they come; those of one Arrow batch by file and place. Batches are taken one at a time, so a digest
+    with any number of instances takes the memory of one. State of digests seen once is the size of the
     distinct subtrees; raise min_node_count to bound it.
     """
+    columns = [x.split()[0] for x in EMITTED.split(", ")]
 
     def step(key: tuple, parts: Iterator, state) -> Iterator:
-        import pandas as pd
-
-        n, file, start, end = state.get if state.exists else (0, None, None, None)
-        rows = pd.concat(list(parts)).sort_values(["file_ord", "post_ord"])
-        out = []
-        for r in rows.itertuples():
-            n += 1
-            if n == 1:
-                file, start, end = r.file, int(r.start_line), int(r.end_line)
-            else:
-                out.append((key[0], n, r.file, r.start_line, r.end_line, r.node_count, file, start, end))
-        state.update((n, file, start, end))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in EMITTED.split(", ")])
+        n, first = 0, None
+        if state.exists:
+            n, *first = state.get
+        for part in parts:
+            rows = part.sort_values(["file_ord", "post_ord"], ignore_index=True)
+            if rows.empty:
+                continue
+            if first is None:
+                head = rows.iloc[0]
+                first = [head["file"], int(head["start_line"]), int(head["end_line"])]
+            rows["instance_no"] = rows.index + n + 1
+            n += len(rows)
+            yield rows.assign(first_file=first[0], first_start=first[1], first_end=first[2]).loc[rows["instance_no"] > 1, columns]
+        if first is not None:
+            state.update((n, *first))
 
     big = subtrees.where(f"node_count >= {int(min_node_count)}")
     return big.groupBy("hash").applyInPandasWithState(step, EMITTED, STATE, "append", "NoTimeout")
